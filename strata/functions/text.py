@@ -41,7 +41,7 @@ def attr_value(c) -> Column:
     c = as_col(c)
     quoted = c.rlike("""^(?:"[^"]*"|'[^']*')$""")
     braced = c.rlike(r"(?s)^\{.*\}$")
-    inner = F.trim(F.substring(c, F.lit(2), F.length(c) - 2))
+    inner = F.trim(F.substring(c, F.lit(2), F.length(c) - 2), F.lit(" \n\t\r"))
     return (F.when(c.isNull() | (c == ""), "true")
             .when(quoted, F.substring(c, F.lit(2), F.length(c) - 2))
             .when(braced & (inner == ""), "{expression}")

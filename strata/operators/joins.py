@@ -24,11 +24,12 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> list[i
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys, how: str = "left",
-              limit: int | None = None, salts: int = 64) -> DataFrame:
+              limit: int | None = None, salts: int = 64, hot: list[int] | None = None) -> DataFrame:
     """Equi-join on columns both sides share, for a right side with few rows per key. Rows of
-    hot left keys spread over ``salts`` parts; only the matching right rows are repeated."""
+    hot left keys spread over ``salts`` parts; only the matching right rows are repeated.
+    ``hot`` takes the hashes of an earlier ``hot_keys`` on the same left side."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    hot = hot_keys(left, keys, limit)
+    hot = hot_keys(left, keys, limit) if hot is None else hot
     if not hot:
         return left.join(right, keys, how)
     is_hot = F.xxhash64(*keys).isin(hot)

@@ -28,6 +28,11 @@ def group(c, rx: str, i: int = 1) -> Column:
     return F.nullif(F.regexp_extract(c, rx, i), F.lit(""))
 
 
+def strip(c) -> Column:
+    """Text without white space at its ends, line breaks included."""
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^\s+|\s+$", "")
+
+
 def path_id(prefix, *parts) -> Column:
     """``prefix:path:part:…``"""
     return entity_id(prefix, F.concat_ws(":", F.col("path"), *parts))
@@ -77,7 +82,7 @@ def lines(sources: DataFrame) -> DataFrame:
 def split_args(args: Column) -> Column:
     """Arguments of a list without its parentheses, cut at commas outside brackets."""
     part = r"(?:[^,(){}\[\]<>]++|=>|\([^()]*+\)|\{[^{}]*+\}|\[[^\[\]]*+\]|<[^<>]*+>|[<>])++"
-    return F.filter(F.transform(F.regexp_extract_all(args, F.lit(part), F.lit(0)), lambda a: F.trim(a)),
+    return F.filter(F.transform(F.regexp_extract_all(args, F.lit(part), F.lit(0)), strip),
                     lambda a: a != "")
 
 

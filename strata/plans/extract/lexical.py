@@ -11,6 +11,7 @@ Windows here run per file. A file is one input row, so its tokens fit one task b
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -126,16 +127,16 @@ def cut(df: DataFrame, code: Column, regex: str, keep=("path", "language")) -> D
         "gap_blank")
 
 
-def scan(sources: DataFrame, g: Grammar) -> DataFrame:
+def scan(sources: DataFrame, g: Grammar, prepare: Callable[[Column], Column] = lambda code: code) -> DataFrame:
     """Classified tokens of each file with nesting facts.
 
     Columns added to ``cut``: ``cls``; ``level`` (brace depth the token lies in, for a brace the
     depth inside it); ``end``/``end_line``/``end_col`` of the block or statement it opens;
     ``closed`` (its brace has a match); ``complexity``; ``cond_depth`` and ``in_cond``;
-    ``doc`` (comment right before); ``owner_*`` of the innermost declaration around it."""
+    ``doc`` (comment right before); ``owner_*`` of the innermost declaration around it.
+    ``prepare`` may change the blanked code, but not its length."""
     code = blank("text", g.style, g.keep_docs)
-    if g.semicolon_for:
-        code = for_headers(code)
+    code = prepare(for_headers(code) if g.semicolon_for else code)
     toks = cut(sources, code, g.regex).withColumn("cls", g.classify(F.col("tok")))
     by_idx = W.partitionBy("path").orderBy("idx")
     run = by_idx.rowsBetween(W.unboundedPreceding, 0)

@@ -8,7 +8,7 @@ from strata.functions.ids import TS_FAMILY, entity_id
 from strata.functions.text import callback_name, doc_description, doc_tags, doc_text, name_or, type_or_any, visibility
 from strata.model import edges_like, nodes_like
 from strata.plans.extract.common import (
-    ARGS, GENERIC, edge, explode_edges, file_id, group, keyword, path_id, props, split_args)
+    strip, ARGS, GENERIC, edge, explode_edges, file_id, group, keyword, path_id, props, split_args)
 from strata.plans.extract.lexical import Grammar, scan
 
 _NAME = r"[A-Za-z_$][\w$]*"
@@ -68,8 +68,17 @@ _METHOD_NAME = rf"([#\w$]+)\s*\??\s*{GENERIC}\("
 _CALLEE = rf"({_NAME}(?:\s*\??\.\s*{_NAME})*)\s*(?:\?\.)?{GENERIC}\("
 
 
+# The equals sign of a markup attribute: between a name and a quote or brace, without blanks.
+_ATTRIBUTE_EQUALS = r"""(?<=\s[\w:.-]{1,60})(?<!\b(?:const|let|var)\s{1,3}[\w$]{1,60})=(?=["'{`])"""
+
+
+def _no_attributes(code: Column) -> Column:
+    """In JSX files an attribute is no assignment."""
+    return F.when(F.col("language") == "TSX", F.regexp_replace(code, _ATTRIBUTE_EQUALS, " ")).otherwise(code)
+
+
 def tokens(sources: DataFrame) -> DataFrame:
-    return scan(sources.where(F.col("language").isin(TS_FAMILY)), GRAMMAR)
+    return scan(sources.where(F.col("language").isin(TS_FAMILY)), GRAMMAR, _no_attributes)
 
 
 def _declared_name(cls: Column, tok: Column) -> Column:
@@ -137,7 +146,7 @@ def _param(a: Column) -> Column:
     named = F.regexp_extract(a, rf"^(?:\.\.\.)?\s*(?:(?:public|private|protected|readonly)\s+)*({_NAME})", 1)
     rest = a.startswith("...")
     optional = rest | a.rlike(rf"^(?:(?:public|private|protected|readonly)\s+)*{_NAME}\s*\?") | a.rlike(r"=(?![>=])")
-    type_ = F.trim(F.regexp_extract(a, r"^[^:=]*:\s*([^=]+)", 1))
+    type_ = strip(F.regexp_extract(a, r"^[^:=]*:\s*([^=]+)", 1))
     return F.struct(
         F.when(named != "", named).otherwise(F.coalesce(F.nullif(a, F.lit("")), F.lit("anonymousParam"))).alias("name"),
         type_or_any(type_).alias("type"), optional.alias("optional"), rest.alias("rest"))
@@ -156,9 +165,9 @@ def params(decls: DataFrame) -> DataFrame:
 
 def import_parts(tok: Column):
     """(default, namespace, named as array of 'name as alias') of an import clause."""
-    clause = F.trim(F.regexp_extract(tok, r"""(?s)^import\s*(?:type\s+)?(.*?)\s*(?:from\s*)?['"][^'"]*['"]$""", 1))
+    clause = strip(F.regexp_extract(tok, r"""(?s)^import\s*(?:type\s+)?(.*?)\s*(?:from\s*)?['"][^'"]*['"]$""", 1))
     braces = F.regexp_extract(clause, r"\{([^{}]*)\}", 1)
-    named = F.filter(F.transform(F.split(braces, ","), lambda x: F.trim(F.regexp_replace(x, r"^\s*type\s+", ""))),
+    named = F.filter(F.transform(F.split(braces, ","), lambda x: strip(F.regexp_replace(x, r"^\s*type\s+", ""))),
                      lambda x: x != "")
     return group(clause, rf"^({_NAME})"), group(clause, rf"\*\s*as\s+({_NAME})"), named
 
@@ -166,7 +175,7 @@ def import_parts(tok: Column):
 def nodes(decls: DataFrame) -> DataFrame:
     d = decls.where("kind is not null")
     default, namespace, named = import_parts(F.col("tok"))
-    words = F.filter(F.split(F.trim("head"), r"\s+"), lambda w: w.isin(
+    words = F.filter(F.split(strip("head"), r"\s+"), lambda w: w.isin(
         "export", "default", "declare", "abstract", "async", "public", "private", "protected",
         "static", "readonly", "override", "const", "let", "var"))
     mods = F.when(F.col("kind").isin("Function", "Class", "Variable", "Method"), words)
@@ -192,7 +201,7 @@ def nodes(decls: DataFrame) -> DataFrame:
         (F.when(body_end, F.col("end_line")).otherwise(F.col("stop_line")) - F.col("line") + 1).alias("loc"),
         F.when(F.col("kind") == "Variable", type_or_any(group("tok", r":\s*([^=;]+?)\s*=?$"))).alias("type"),
         F.when(F.col("kind").isin("Function", "Method"),
-               type_or_any(F.trim(F.regexp_extract("tok", r"\)\s*:\s*([^(){}]+?)\s*(?:=>\s*)?\{?$", 1)))).alias("return_type"),
+               type_or_any(strip(F.regexp_extract("tok", r"\)\s*:\s*([^(){}]+?)\s*(?:=>\s*)?\{?$", 1)))).alias("return_type"),
         F.when(F.col("kind").isin("Function", "Method"), F.col("complexity")).alias("complexity"),
         F.when(F.col("kind") == "Method", visibility(words)).alias("visibility"),
         F.when(is_type, F.array_contains(words, "export") & ~F.col("cls").isin("callback", "lambda")).alias("is_exported"),
@@ -204,7 +213,7 @@ def nodes(decls: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "Function", F.col("tok").rlike(r"\bfunction\s*\*")).alias("is_generator"),
         F.when(F.col("kind") == "Variable", F.array_contains(words, "const")).alias("is_constant"),
         F.when((F.col("kind") == "Class") & (impl != ""),
-               F.transform(F.split(impl, ","), lambda x: F.trim(x))).alias("implements"),
+               F.transform(F.split(impl, ","), lambda x: strip(x))).alias("implements"),
         mods.alias("modifiers"),
         F.when(docs.isNotNull(), doc_tags(docs)).alias("tags"),
         F.nullif(F.when(F.col("kind") == "Import", doc_description(docs)).otherwise(doc_text(docs)), F.lit("")).alias("documentation"),
@@ -252,7 +261,7 @@ def call_sites(decls: DataFrame) -> DataFrame:
 def assignments(decls: DataFrame) -> DataFrame:
     """(path, source_id, target, name, line, col): plain ``=`` outside declarations."""
     s = _sites(decls.where("cls in ('assign', 'function', 'arrow', 'method')")).where("cls = 'assign'")
-    target = F.trim(F.regexp_replace("tok", r"(?s)\s*=$", ""))
+    target = strip(F.regexp_replace("tok", r"(?s)\s*=$", ""))
     target = F.regexp_replace(target, r"\s|\?", "")
     bare = F.regexp_replace(target, r"\[.*$", "")
     return s.select("path", "source_id", target.alias("target"), F.substring_index(bare, ".", -1).alias("name"),
@@ -296,7 +305,7 @@ def export_rows(decls: DataFrame) -> DataFrame:
     """(path, form, module, exported): re-exports, local export lists, default assignments."""
     d = decls.where("cls in ('reexport', 'exports', 'export_default')")
     listed = F.filter(F.transform(F.split(F.regexp_extract("tok", r"\{([^{}]*)\}", 1), ","),
-                                  lambda x: F.regexp_replace(F.trim(x), r"\s+as\s+.*$", "")), lambda x: x != "")
+                                  lambda x: F.regexp_replace(strip(x), r"\s+as\s+.*$", "")), lambda x: x != "")
     return d.select(
         "path", F.col("cls").alias("form"), F.when(F.col("cls") == "reexport", F.col("module")).alias("module"),
         F.when(F.col("cls") == "export_default", F.array(F.regexp_extract("tok", r"([\w$]+)$", 1)))
@@ -307,7 +316,7 @@ def heritage_rows(decls: DataFrame) -> DataFrame:
     """(path, source_id, relation, name): extends and implements clauses."""
     d = decls.where("kind in ('Class', 'Interface')")
     flat = F.regexp_replace(F.regexp_replace("tok", r"<[^<>]*>", ""), r"<[^<>]*>", "")
-    names = lambda rx: F.filter(F.transform(F.split(F.regexp_extract(flat, rx, 1), ","), lambda x: F.trim(x)),
+    names = lambda rx: F.filter(F.transform(F.split(F.regexp_extract(flat, rx, 1), ","), lambda x: strip(x)),
                                 lambda x: x != "")
     ext = names(r"\bextends\s+([^{]+?)\s*(?:\bimplements\b|\{)")
     imp = names(r"\bimplements\s+([^{]+?)\s*\{")

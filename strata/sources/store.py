@@ -115,10 +115,13 @@ class GraphStore:
         base = f"{self.path}/v{v}"
         write_nodes(nodes_like(nodes), f"{base}/nodes")
         write_edges(edges_like(edges), f"{base}/edges")
-        self._fs().mkdirs(self._p("commits"))
-        self._fs().create(self._p("commits", str(v)), True).close()
+        self.commit(v)
         return v
 
+    def commit(self, version: int) -> None:
+        self._fs().mkdirs(self._p("commits"))
+        self._fs().create(self._p("commits", str(version)), True).close()
+
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> int:
         n, e = self.read()
         return self.write(upsert_nodes(n, nodes_like(nodes)), upsert_edges(e, edges_like(edges)))
