@@ -185,7 +185,7 @@ def _named(sites: DataFrame, full: str) -> DataFrame:
     first = F.substring_index(full, ".", 1)
     dotted = F.col(full).contains(".")
     last = F.substring_index(full, ".", -1)
-    qual = F.when((first == "this") & dotted, F.concat_ws(".", F.lower("source_class"), F.lower(last))) \
+    qual = F.when((first == "this") & dotted, F.concat(F.lower("source_class"), F.lit("."), F.lower(last))) \
         .when(dotted, F.concat_ws(".", F.lower(first), F.lower(last))).otherwise(F.col(full))
     return sites.withColumns({"local": first, "member": F.when(dotted, F.expr(f"substring({full}, length(substring_index({full}, '.', 1)) + 2)")),
                               "qual": qual})

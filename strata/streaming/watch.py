@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from strata.functions.ids import EXTENSIONS
 from strata.operators.dedup import dedup_last
 from strata.sources.corpus import as_sources
 from strata.sources.globs import filter_extensions, filter_ignored, ignore_patterns
 from strata.sources.store import GraphStore
 
 
-def watch_files(spark: SparkSession, root: str, ignore=(), max_files: int | None = None) -> DataFrame:
+def watch_files(spark: SparkSession, root: str, exts=EXTENSIONS, ignore=(), max_files: int | None = None) -> DataFrame:
     """New source files below ``root`` as a stream of sources."""
     reader = (spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True))
     if max_files:
@@ -21,7 +22,7 @@ def watch_files(spark: SparkSession, root: str, ignore=(), max_files: int | None
     raw = reader.load(root).select(
         F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/*(?=/)", "").alias("path"),
         F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("mtime"))
-    return filter_ignored(filter_extensions(as_sources(raw)), ignore_patterns(ignore, root))
+    return filter_ignored(filter_extensions(as_sources(raw), exts), ignore_patterns(ignore, root))
 
 
 def manifest(sources: DataFrame) -> DataFrame:
