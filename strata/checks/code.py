@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strata.checks.registry import query
 from strata.plans import components, resolve
+from strata.session import written
 from strata.plans.extract import cfamily, csharp, golang, java, markup, python, sql, typescript
 from strata.sources import bindings as b
 
@@ -51,14 +52,14 @@ _AREA_OF = "'function:/shop/nation/n' || n || '.ts:area' || n || ':4'"
 
 
 def _ts(spark, sf):
-    return typescript.decorate(typescript.tokens(b.ts_src(spark, sf)))
+    """TypeScript constructs, written once: every check reads them in more than one place."""
+    return written(typescript.decorate(typescript.tokens(b.ts_src(spark, sf))), "ts")
 
 
 def _ts_parts(spark, sf):
     """(constructs, declared names, imported names, resolved imports, files)."""
-    src = b.ts_src(spark, sf)
-    d = typescript.decorate(typescript.tokens(src))
-    files = src.select("path")
+    d = _ts(spark, sf)
+    files = b.ts_src(spark, sf).select("path")
     imports = resolve.resolve_imports(typescript.import_rows(d), files)
     decls = resolve.declared(typescript.nodes(d), typescript.export_rows(d))
     return d, decls, resolve.imported_names(imports), imports, files
@@ -228,8 +229,8 @@ _BOLD = f"'jsxelement:' || {_GP} || ':b:2:9'"
 
 def _tsx(spark, sf):
     src = b.tsx_src(spark, sf)
-    d = typescript.decorate(typescript.tokens(src))
-    els = markup.elements(src)
+    d = written(typescript.decorate(typescript.tokens(src)), "tsx")
+    els = written(markup.elements(src), "elements")
     return src, d, els, components.component_spans(d, els)
 
 
@@ -414,7 +415,7 @@ def cpp_includes(spark, sf):
 @query(facts(_P, "source_id, target_id", f"{_XC}, 'unresolved:base'", f"{_XC}, 'unresolved:item'"))
 def cpp_heritage(spark, sf):
     """E30, J10 (C++): base classes."""
-    d = cfamily.decorate(b.cpp_src(spark, sf))
+    d = written(cfamily.decorate(b.cpp_src(spark, sf)), "cpp")
     decls = resolve.declared(cfamily.nodes(d), kinds=["CppClass"])
     return resolve.resolve_heritage(cfamily.heritage_rows(d), decls, None).select("source_id", "target_id")
 
@@ -460,7 +461,7 @@ def python_edges(spark, sf):
              f"{_HELP}, 'pythonfunction:' || {_YP} || ':print', 18, 'true'", f"'file:' || {_YP}, {_HELP}, 21, 'false'"))
 def python_calls(spark, sf):
     """E23, J12 (Python): calls by name within the file."""
-    d = python.decorate(b.py_src(spark, sf))
+    d = written(python.decorate(b.py_src(spark, sf)), "py")
     sites = python.call_sites(d)
     e = resolve.py_calls(sites, python.nodes(d))
     called = F.element_at("properties", "calledName").alias("name")
@@ -501,6 +502,6 @@ def sql_columns(spark, sf):
              f"'REFERENCES_TABLE', 'sqldeletestatement:' || {_LP} || ':12:0', {_TAB}, 'false'"))
 def sql_references(spark, sf):
     """What views and statements refer to."""
-    d = sql.decorate(b.sql_src(spark, sf))
+    d = written(sql.decorate(b.sql_src(spark, sf)), "sql")
     e = resolve.sql_references(sql.reference_rows(d), sql.nodes(d))
     return e.select("type", "source_id", "target_id", F.element_at("properties", "isPlaceholder").alias("is_placeholder"))

@@ -144,7 +144,8 @@ def scan(sources: DataFrame, g: Grammar, prepare: Callable[[Column], Column] = l
     closes = F.when(F.col("cls") == "close", 1).otherwise(0)
     is_cond = F.col("cls").isin(g.conditional) if g.conditional else F.lit(False)
     decision = F.col("cls").isin(g.decisions) if g.decisions else F.lit(False)
-    ends_stmt = F.col("cls").isin("semi", "close") | F.col("tok").endswith("{")
+    semi = F.col("tok").endswith(";")
+    ends_stmt = semi | (F.col("cls") == "close") | F.col("tok").endswith("{")
     toks = toks.withColumns({
         "opens": opens,
         "depth": F.sum(opens - closes).over(run),
@@ -161,19 +162,20 @@ def scan(sources: DataFrame, g: Grammar, prepare: Callable[[Column], Column] = l
     # Matching brace: within a level, the row after an opening one among the braces.
     is_brace = (F.col("opens") == 1) | (F.col("cls") == "close")
     by_level = W.partitionBy("path", "level").orderBy("idx")
-    rest = by_level.rowsBetween(1, W.unboundedFollowing)
+    # Backwards, so that the nearest row behind is the last one seen.
+    behind = W.partitionBy("path", "level").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1)
     brace = F.when(F.col("cls") == "close", F.struct("idx", "stop", "stop_line", "stop_col", "decided"))
-    enders = F.when(F.col("cls").isin("semi", "close"), F.struct("idx", "start", "line", "col", "decided"))
+    enders = F.when(semi | (F.col("cls") == "close"), F.struct("idx", "start", "line", "col", "decided"))
     is_owner = F.col("cls").isin(g.owners)
     cond_open = (F.col("opens") == 1) & (F.col("cond_stmt") == 1) & ~is_owner
     toks = toks.withColumns({
-        "_match": F.min(brace).over(rest),
-        "_stmt_end": F.min(enders).over(rest),
+        "_match": F.last(brace, ignorenulls=True).over(behind),
+        "_stmt_end": F.last(enders, ignorenulls=True).over(behind),
         "cond_open": cond_open.cast("int"),
         "_closes_cond": F.when(F.col("cls") == "close", F.last(
             F.when(F.col("opens") == 1, cond_open.cast("int")), ignorenulls=True)
             .over(by_level.rowsBetween(W.unboundedPreceding, -1)))})
-    is_decl = F.col("cls").isin(g.decls)
+    is_decl = F.col("cls").isin(g.decls) & ~semi
     braced = F.col("opens") == 1
     toks = toks.withColumns({
         "closed": F.when(braced, F.col("_match").isNotNull()).otherwise(F.lit(True)),
@@ -183,7 +185,7 @@ def scan(sources: DataFrame, g: Grammar, prepare: Callable[[Column], Column] = l
         "end_col": F.when(braced, F.col("_match.stop_col")).when(is_decl, F.col("_stmt_end.col"))
         .otherwise(F.col("stop_col")),
         "complexity": (F.lit(1) + F.coalesce(
-            F.when(braced, F.col("_match.decided")).otherwise(F.col("_stmt_end.decided")),
+            F.when(braced, F.col("_match.decided")).when(is_decl, F.col("_stmt_end.decided")),
             F.col("decided")) - F.col("decided")).cast("int"),
         "cond_depth": F.sum(F.col("cond_open") - F.coalesce("_closes_cond", F.lit(0))).over(run)})
     toks = toks.withColumns({

@@ -42,6 +42,7 @@ TOKENS = [
     ("operator", r"&&|\|\||\?\?"),
     ("ternary", r"\?", r"(?![.:?)=,;])"),
     ("abstract_method", rf"{keyword('abstract')}\s+{_MEMBER_MODS}{_NAME}\s*{GENERIC}{ARGS}"),
+    ("signature", rf"{_NAME}\s*\??\s*{GENERIC}{ARGS}\s*:\s*[^;{{}}()=\n]+", r"(?=\s*[;,}])", r"(?<=[;{}\n][ \t]{0,80})"),
     ("method", rf"(?<![\w$.]){_MEMBER_MODS}(?:\*\s*)?{_NOT_WORDS}[#\w$]+\s*\??\s*{GENERIC}{ARGS}{_RET}\s*\{{"),
     ("new", rf"{keyword('new')}\s+{_NAME}(?:\.{_NAME})*\s*{GENERIC}\s*\("),
     ("word", rf"{keyword(['return', 'typeof', 'function', 'super', 'import', 'delete', 'void', 'in', 'of', 'throw'])}\s*\("),
@@ -91,7 +92,7 @@ def _declared_name(cls: Column, tok: Column) -> Column:
 
 def _args(cls: Column, tok: Column) -> Column:
     """Text of the parameter list of a function-like token."""
-    listed = F.when(cls.isin("function", "method", "call", "abstract_method"),
+    listed = F.when(cls.isin("function", "method", "signature", "abstract_method"),
                     F.regexp_extract(tok, rf"^[^(]*?({ARGS})", 1)) \
         .otherwise(F.regexp_extract(tok, rf"({ARGS}){_RET}\s*(?:=>\s*\{{?|\{{)$", 1))
     bare = F.regexp_extract(tok, rf"(?:^|[\s(,=])({_NAME})\s*=>\s*\{{?$", 1)
@@ -108,7 +109,7 @@ def decorate(toks: DataFrame) -> DataFrame:
     is_method = in_type & (
         ((cls == "method") & (F.col("owner_cls") == "class") & (member != "constructor") & ~accessor)
         | ((cls == "abstract_method") & (F.col("owner_cls") == "class"))
-        | ((F.col("owner_cls") == "interface") & cls.isin("call", "method")))
+        | ((F.col("owner_cls") == "interface") & cls.isin("call", "method", "signature")))
     top_level = F.col("owner_cls").isNull() & (F.col("level") == 0)
     kind = (F.when(cls == "import", "Import").when(cls == "class", "Class").when(cls == "interface", "Interface")
             .when(cls == "alias", "TypeAlias").when(cls.isin(_FUNCTIONS), "Function")

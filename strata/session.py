@@ -56,5 +56,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """The rows written once under the shared folder and read back, for plans with several
+    readers: unlike a checkpoint, each reader then scans only its columns."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def group_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_LIMIT, str(GROUP_LIMIT_DEFAULT)))

@@ -120,7 +120,7 @@ def change_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 def fill(template: str, **columns) -> Column:
     """Text of a template with ``{name}`` filled from columns; ``{{`` and ``}}`` stand for braces."""
-    out, rest = [], template.replace("{{", "\x01").replace("}}", "\x02")
+    out, rest = [], template.replace("{{", "\x01").replace("}}}", "}\x02").replace("}}", "\x02")
     plain = lambda t: F.lit(t.replace("\x01", "{").replace("\x02", "}"))
     while "{" in rest:
         before, _, rest = rest.partition("{")
