@@ -60,11 +60,17 @@ def for_headers(code: Column) -> Column:
 @dataclass(frozen=True)
 class Grammar:
     """Token classes in order of precedence, and what they mean for nesting. A token is
-    (class, regex) or (class, regex, what must follow, what must precede)."""
+    (class, regex) or (class, regex, what must follow, what must precede).
+
+    Most positions of a text start no token. Tokens are therefore tried only where a word
+    starts, or, for the classes in ``marks`` (and ``either``), at one of ``mark_chars``."""
 
     tokens: list[tuple]
     decls: list[str]
     owners: list[str]
+    marks: list[str]
+    mark_chars: str = r"{};"
+    either: list[str] = field(default_factory=list)
     conditional: list[str] = field(default_factory=list)
     decisions: list[str] = field(default_factory=list)
     style: str = "c"
@@ -73,7 +79,13 @@ class Grammar:
 
     @property
     def regex(self) -> str:
-        around = [(rx, *more, "", "")[:3] for _, rx, *more in self.tokens]
+        marks = {"open", "close", "semi", *self.marks}
+        words = self._any(lambda name: name not in marks)
+        others = self._any(lambda name: name in marks or name in self.either)
+        return rf"(?:(?<![\w$.])(?=[A-Za-z_$@])(?:{words})|(?=[{self.mark_chars}])(?:{others}))"
+
+    def _any(self, wanted) -> str:
+        around = [(rx, *more, "", "")[:3] for name, rx, *more in self.tokens if wanted(name)]
         return "|".join(f"(?:{lead}(?:{rx}){follow})" for rx, follow, lead in around)
 
     def classify(self, tok: Column) -> Column:
@@ -96,10 +108,12 @@ def tail(c: Column) -> Column:
 def cut(df: DataFrame, code: Column, regex: str, keep=("path", "language")) -> DataFrame:
     """(keep…, idx, tok, start, stop, line, col, stop_line, stop_col, gap_blank) per match of
     ``regex``: offsets are 1-based, columns 0-based, ``stop`` exclusive."""
-    pattern = F.lit(f"(?s)(.*?)({regex})")
-    found = F.arrays_zip(F.regexp_extract_all(code, pattern, F.lit(1)).alias("gap"),
-                         F.regexp_extract_all(code, pattern, F.lit(2)).alias("tok"))
-    rows = df.select(*keep, F.posexplode(found).alias("idx", "hit")).select(*keep, "idx", "hit.*")
+    # One pass marks both ends of every token; the cuts are plain string work after that.
+    clean = F.translate(code, "\x01\x02", "  ")
+    marked = F.regexp_replace(clean, f"(?s){regex}", "\x01$0\x02")
+    rows = df.select(*keep, F.posexplode(F.split(marked, "\x02")).alias("idx", "piece"))
+    rows = rows.where(F.contains("piece", F.lit("\x01"))).select(
+        *keep, "idx", F.substring_index("piece", "\x01", 1).alias("gap"), F.substring_index("piece", "\x01", -1).alias("tok"))
     gap, tok = F.col("gap"), F.col("tok")
     narrow = rows.select(
         *keep, "idx", "tok", (F.length(gap) + F.length(tok)).alias("plen"), F.length(tok).alias("tlen"),

@@ -55,6 +55,7 @@ GRAMMAR = Grammar(
     tokens=TOKENS,
     decls=["class", "interface", "function", "arrow", "callback", "lambda", "method"],
     owners=["class", "interface", "function", "arrow", "method"],
+    marks=["doc", "operator", "ternary"], either=["lambda", "method"], mark_chars=r"/&|?(<*#{};",
     conditional=["branch", "other_branch", "ternary"],
     decisions=["branch", "case", "catch", "operator", "ternary"],
     keep_docs=True, semicolon_for=True)

@@ -308,7 +308,10 @@ DELETE FROM shop.part{k};
 
 
 def _render(df: DataFrame, path: Column, text: Column) -> DataFrame:
-    return as_sources(df.select(path.alias("path"), text.alias("text")))
+    """One source per row. The rows of a small table file are spread first, while narrow."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rows = df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return as_sources(rows.select(path.alias("path"), text.alias("text")))
 
 
 def ts_src(spark: SparkSession, sf: str) -> DataFrame:
