@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata.checks.registry import query
+from strata.operators.dedup import count_by, union_facts
 from strata.plans import components, resolve
-from strata.session import written
+from strata.plans.analyze import analyze
 from strata.plans.extract import cfamily, csharp, golang, java, markup, python, sql, typescript
+from strata.session import written
 from strata.sources import bindings as b
 
 
@@ -505,3 +507,41 @@ def sql_references(spark, sf):
     d = written(sql.decorate(b.sql_src(spark, sf)), "sql")
     e = resolve.sql_references(sql.reference_rows(d), sql.nodes(d))
     return e.select("type", "source_id", "target_id", F.element_at("properties", "isPlaceholder").alias("is_placeholder"))
+
+
+@query(facts(_C, "path, what, name, line", f"{_YP}, 'import', 'os', 1", f"{_YP}, 'import', 'sys', 1", f"{_YP}, 'from', 'shop.' || seg, 2",
+             f"{_YP}, 'assign', 'LIMIT' || k, 3", f"{_YP}, 'class', 'Customer' || k, 5", f"{_YP}, 'assign', 'kind', 6",
+             f"{_YP}, 'function', '__init__', 8", f"{_YP}, 'parameter', 'self', 8", f"{_YP}, 'parameter', 'name', 8",
+             f"{_YP}, 'assign', 'label', 10", f"{_YP}, 'call', 'helper' || k, 10", f"{_YP}, 'function', 'visit', 12",
+             f"{_YP}, 'parameter', 'self', 12", f"{_YP}, 'parameter', 'place', 12", f"{_YP}, 'call', 'home', 13",
+             f"{_YP}, 'function', 'helper' || k, 16", f"{_YP}, 'parameter', 'x', 16", f"{_YP}, 'parameter', 'y', 16",
+             f"{_YP}, 'assign', 'total', 17", f"{_YP}, 'call', 'print', 18", f"{_YP}, 'call', 'helper' || k, 21"))
+def python_facts_sql(spark, sf):
+    """The Python extractor as a SQL table function."""
+    python.register_python_facts(spark)
+    b.py_src(spark, sf).createOrReplaceTempView("strata_py_src")
+    return spark.sql("SELECT path, f.what, f.name, f.line FROM strata_py_src, LATERAL python_facts(text) AS f")
+
+
+_COUNTS = {
+    "File": "s + n + r + 2 * c + g + 2 * p + h", "Function": "3 * s + n + c + g", "Import": "3 * s + c", "Class": "s + n",
+    "Interface": "n + r", "TypeAlias": "n", "Variable": "s", "Method": "2 * s + 2 * n + r", "Parameter": "9 * s + 2 * n + c + g",
+    "Component": "c + g", "JSXElement": "2 * c + g", "JSXAttribute": "5 * c + g", "TailwindClass": "cn + 2",
+    "IncludeDirective": "2 * p", "MacroDefinition": "p + h", "CppClass": "p", "CppMethod": "3 * p", "CFunction": "p + h",
+    "PythonClass": "c", "PythonMethod": "2 * c", "PythonFunction": "c", "PythonVariable": "4 * c", "PythonParameter": "6 * c",
+    "PythonModule": "2 + g", "SQLTable": "p", "SQLView": "p", "SQLColumn": "3 * p", "SQLSelectStatement": "p",
+    "SQLInsertStatement": "p", "SQLUpdateStatement": "p", "SQLDeleteStatement": "p", "Directory": "10",
+}
+
+
+@query("""
+WITH t AS (SELECT (SELECT count(*) FROM supplier) AS s, (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM region) AS r,
+  (SELECT count(*) FROM customer) AS c, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS g, (SELECT count(DISTINCT c_nationkey) FROM customer) AS cn,
+  (SELECT count(*) FROM part) AS p, (SELECT count(DISTINCT p_brand) FROM part WHERE NOT p_brand LIKE '%1') AS h)
+""" + "\nUNION ALL ".join(f"SELECT '{k}' AS kind, CAST({v} AS BIGINT) AS n FROM t" for k, v in _COUNTS.items()))
+def analyze_kinds(spark, sf):
+    """The whole analysis over a corpus in five languages: nodes per kind, placeholders aside."""
+    keep = ["path", "name", "extension", "language", "text"]
+    src = [f(spark, sf).select(keep) for f in (b.ts_src, b.tsx_src, b.cpp_src, b.py_src, b.sql_src)]
+    graph = analyze(union_facts(*src))
+    return count_by(graph.nodes.where("kind <> 'Placeholder'"), "kind")

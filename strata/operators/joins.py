@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strata.session import group_limit
+from strata.session import group_limit, is_small
 
 MAX_HOT = 1000
 
@@ -17,6 +17,8 @@ MAX_HOT = 1000
 def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> list[int]:
     """Hashes of the keys with more rows than one task should own, at most MAX_HOT of the
     largest (any further one holds under 1/MAX_HOT of the rows, which AQE splits)."""
+    if limit is None and is_small(df):
+        return []
     limit = limit or group_limit(df.sparkSession)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
     top = counts.orderBy(F.desc("_n")).limit(MAX_HOT).select(F.xxhash64(*keys).alias("_h"))

@@ -1,7 +1,7 @@
 """Order-sensitive operators that stay parallel when one group holds much of the data.
 
-Every operator first looks at the largest group (one aggregate with map-side combine). Up to
-the limit a window over the group is safe, since one task can hold it. Beyond it the rows are
+Every operator first looks at the largest group (one aggregate with map-side combine, left out
+where Spark estimates the whole input as small). Up to the limit a window over the group is safe, since one task can hold it. Beyond it the rows are
 range-partitioned by group and order, each range is scanned on its own, and the state entering
 each range comes from one summary row per range.
 """
@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from strata.session import group_limit, materialise
+from strata.session import group_limit, is_small, materialise
 
 _RANGE = "_range"
 _TIE = "_tie"
@@ -56,9 +56,11 @@ def _with_entry_state(ranged: DataFrame, keys, summary: Column, carry: Column) -
 def _scan(df: DataFrame, keys, order, out: str, local, summary: Column, carry: Column,
           combine, limit: int | None) -> DataFrame:
     keys = list(keys)
+    whole = W.partitionBy(*keys).orderBy(*_order(order))
+    if limit is None and is_small(df):
+        return df.withColumn(out, local(whole))
     limit = limit or group_limit(df.sparkSession)
     top, total = largest_group(df, keys)
-    whole = W.partitionBy(*keys).orderBy(*_order(order))
     if top <= limit:
         return df.withColumn(out, local(whole))
     ranged = _ranges(df, keys, order, total, limit)

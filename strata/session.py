@@ -64,5 +64,17 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+# Inputs that Spark estimates below this many bytes cannot overload a task, whatever their keys.
+SMALL_INPUT = 32 * 1024 * 1024
+
+
+def is_small(df: DataFrame) -> bool:
+    """Spark's own size estimate says the rows fit one task with room to spare. Where the group
+    limit is set by hand, groups are always measured."""
+    if df.sparkSession.conf.get(GROUP_LIMIT, None) is not None:
+        return False
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_INPUT
+
+
 def group_limit(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_LIMIT, str(GROUP_LIMIT_DEFAULT)))
