@@ -34,7 +34,7 @@ TOKENS = [
     ("variable", rf"{_EXPORT}{keyword(['const', 'let', 'var'])}\s+{_NAME}\s*(?::[^=;]+?)?(?:\s*=)?", r"(?=\s*(?:;|,|\n|\bof\b|\bin\b)|(?<==)(?![=>]))"),
     ("export_default", rf"{keyword('export')}\s+default\s+{_NAME}", r"(?=\s*;|\s*\n|\s*\z)"),
     ("catch", rf"{keyword('catch')}\s*(?:\([^()]*\))?\s*\{{"),
-    ("callback", rf"(?<![\w$.]){_NAME}(?:\s*\??\.\s*{_NAME})*\s*\([^(){{}};=]*?(?:{_ARROW_ARGS}|{_FUNC_EXPR})"),
+    ("callback", rf"(?<![\w$.]){_NOT_WORDS}{_NAME}(?:\s*\??\.\s*{_NAME})*\s*\([^(){{}};=]*?(?:{_ARROW_ARGS}|{_FUNC_EXPR})"),
     ("lambda", rf"{_ARROW_ARGS}|{_FUNC_EXPR}"),
     ("branch", keyword(["if", "for", "while"])),
     ("other_branch", keyword(["else", "switch", "do"])),

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strata.functions.ids import norm_path
 
-_NODE = ("kind string, name string, filePath string, entityId string, language string, "
-         "startLine int, endLine int, startColumn int, endColumn int, parentId string, "
-         "properties map<string,string>")
-_EDGE = ("type string, sourceId string, targetId string, entityId string, weight int, "
-         "properties map<string,string>")
-FACT_SCHEMA = T.StructType.fromDDL(
-    f"filePath string, nodes array<struct<{_NODE.replace(' string', ':string').replace(' int', ':int').replace(' map', ':map')}>>, "
-    f"relationships array<struct<{_EDGE.replace(' string', ':string').replace(' int', ':int').replace(' map', ':map')}>>, "
-    "_corrupt_record string")
+_NODE = ("kind:string, name:string, filePath:string, entityId:string, language:string, startLine:int, "
+         "endLine:int, startColumn:int, endColumn:int, parentId:string, properties:map<string,string>")
+_EDGE = ("type:string, sourceId:string, targetId:string, entityId:string, weight:int, "
+         "properties:map<string,string>")
+FACT_SCHEMA = (f"filePath string, nodes array<struct<{_NODE}>>, relationships array<struct<{_EDGE}>>, "
+               "_corrupt_record string")
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,7 +54,7 @@ def read_facts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return fact_nodes(docs), fact_edges(docs)
 
 
-def path_key(path) -> "F.Column":
+def path_key(path) -> Column:
     return F.sha2(norm_path(path), 256)
 
 
