@@ -15,8 +15,19 @@ from strata.operators.dedup import union_facts
 from strata.sources.corpus import as_sources
 
 
-def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+def load(spark: SparkSession, sf: str, table: str, spread_from: int | None = None) -> DataFrame:
+    """A given table. A file of ``spread_from`` bytes or more that Spark cannot split (one row
+    group) is spread over the cores; projections and filters still reach its scan."""
+    df = spark.read.parquet(f"{sf}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    # Larger inputs come in as many splits as they need.
+    least = _UNSPLIT_FROM if spread_from is None else spread_from
+    return df.repartition(cores) if least <= size < cores * _SPLIT else df
+
+
+# Bytes from which one task is too few, and bytes of one split by Spark's default.
+_UNSPLIT_FROM, _SPLIT = 1 << 20, 128 << 20
 
 
 def key_id(kind: str, key: str) -> Column:
@@ -308,15 +319,13 @@ DELETE FROM shop.part{k};
 
 
 def _render(df: DataFrame, path: Column, text: Column) -> DataFrame:
-    """One source per row. The rows of a small table file are spread first, while narrow."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    rows = df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-    return as_sources(rows.select(path.alias("path"), text.alias("text")))
+    """One source per row."""
+    return as_sources(df.select(path.alias("path"), text.alias("text")))
 
 
 def ts_src(spark: SparkSession, sf: str) -> DataFrame:
     """A TypeScript file per supplier, nation and region, importing one another."""
-    s, n, r = (load(spark, sf, t) for t in ("supplier", "nation", "region"))
+    s, n, r = (load(spark, sf, t, 0) for t in ("supplier", "nation", "region"))
     return union_facts(
         _render(s, fill("/shop/supplier/s{k}.ts", k="s_suppkey"),
                 fill(_TS_SUPPLIER, k="s_suppkey", n="s_nationkey", bal=F.floor("s_acctbal"))),
@@ -327,7 +336,7 @@ def ts_src(spark: SparkSession, sf: str) -> DataFrame:
 
 def tsx_src(spark: SparkSession, sf: str) -> DataFrame:
     """A component file per customer, using the component of its market segment."""
-    c = load(spark, sf, "customer").withColumn("seg", F.initcap("c_mktsegment"))
+    c = load(spark, sf, "customer", 0).withColumn("seg", F.initcap("c_mktsegment"))
     segs = c.select("seg").distinct()
     return union_facts(
         _render(c, fill("/ui/c{k}.tsx", k="c_custkey"), fill(
@@ -336,23 +345,23 @@ def tsx_src(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def java_src(spark: SparkSession, sf: str) -> DataFrame:
-    return _render(load(spark, sf, "part"), fill("/java/Part{k}.java", k="p_partkey"),
+    return _render(load(spark, sf, "part", 0), fill("/java/Part{k}.java", k="p_partkey"),
                    fill(_JAVA_PART, type=F.lower("p_type"), k="p_partkey", size="p_size"))
 
 
 def go_src(spark: SparkSession, sf: str) -> DataFrame:
-    return _render(load(spark, sf, "orders"), fill("/go/o{k}.go", k="o_orderkey"),
+    return _render(load(spark, sf, "orders", 0), fill("/go/o{k}.go", k="o_orderkey"),
                    fill(_GO_ORDER, status=F.lower("o_orderstatus"), k="o_orderkey", c="o_custkey"))
 
 
 def cs_src(spark: SparkSession, sf: str) -> DataFrame:
-    return _render(load(spark, sf, "customer"), fill("/cs/c{k}.cs", k="c_custkey"), fill(
+    return _render(load(spark, sf, "customer", 0), fill("/cs/c{k}.cs", k="c_custkey"), fill(
         _CS_CUSTOMER, seg=F.initcap("c_mktsegment"), k="c_custkey", n="c_nationkey"))
 
 
 def cpp_src(spark: SparkSession, sf: str) -> DataFrame:
     """A C++ file per part and a C header per brand; some brands have no header."""
-    p = load(spark, sf, "part").withColumn("brand", F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
+    p = load(spark, sf, "part", 0).withColumn("brand", F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
     heads = p.select("brand").where("not brand like '%1'").distinct()
     return union_facts(
         _render(p, fill("/cpp/p{k}.cpp", k="p_partkey"), fill(_CPP_PART, brand="brand", k="p_partkey", size="p_size")),
@@ -360,9 +369,9 @@ def cpp_src(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def py_src(spark: SparkSession, sf: str) -> DataFrame:
-    return _render(load(spark, sf, "customer"), fill("/py/c{k}.py", k="c_custkey"), fill(
+    return _render(load(spark, sf, "customer", 0), fill("/py/c{k}.py", k="c_custkey"), fill(
         _PY_CUSTOMER, seg=F.lower("c_mktsegment"), k="c_custkey", n="c_nationkey"))
 
 
 def sql_src(spark: SparkSession, sf: str) -> DataFrame:
-    return _render(load(spark, sf, "part"), fill("/sql/p{k}.sql", k="p_partkey"), fill(_SQL_PART, k="p_partkey", size="p_size"))
+    return _render(load(spark, sf, "part", 0), fill("/sql/p{k}.sql", k="p_partkey"), fill(_SQL_PART, k="p_partkey", size="p_size"))
