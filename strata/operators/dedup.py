@@ -1,6 +1,6 @@
 """First-wins and last-wins dedup, unions, and their reports.
 
-Winners are picked by ``min_by`` / ``max_by``: partial aggregation leaves one row per key and
+Winners are picked by ``min`` / ``max`` over structs (``min_by`` / ``max_by`` with maps): partial aggregation leaves one row per key and
 task before the shuffle, so a key with many copies costs no more than any other.
 """
 
@@ -16,25 +16,30 @@ def _cols(cs) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cs]
 
 
-def _place(seq) -> Column:
-    return F.struct(*[c.alias(f"s{i}") for i, c in enumerate(_cols(seq))])
-
-
-def _pick(df: DataFrame, key, seq, chooser) -> DataFrame:
+def _pick(df: DataFrame, key, seq, last: bool) -> DataFrame:
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(chooser(F.struct(*rest), _place(seq)).alias("_w"))
-    return picked.select(*keys, "_w.*").select(df.columns)
+    order = [seq] if isinstance(seq, (str, Column)) else list(seq)
+    named = all(isinstance(c, str) for c in order)
+    if named and not any("map<" in t or t == "variant" for _, t in df.dtypes):
+        # Order columns lead one struct that is both place and row; the other columns settle ties.
+        first = [c for c in dict.fromkeys(order) if c not in keys]
+        whole = F.struct(*first, *[c for c in rest if c not in first])
+        best = F.max(whole) if last else F.min(whole)
+    else:
+        place = F.struct(*[c.alias(f"s{i}") for i, c in enumerate(_cols(order))])
+        best = (F.max_by if last else F.min_by)(F.struct(*rest), place)
+    return df.groupBy(*keys).agg(best.alias("_w")).select(*keys, "_w.*").select(df.columns)
 
 
 def dedup_last(df: DataFrame, key, seq) -> DataFrame:
     """One row per key: the one latest in ``seq``."""
-    return _pick(df, key, seq, F.max_by)
+    return _pick(df, key, seq, last=True)
 
 
 def dedup_first(df: DataFrame, key, seq) -> DataFrame:
     """One row per key: the one earliest in ``seq``."""
-    return _pick(df, key, seq, F.min_by)
+    return _pick(df, key, seq, last=False)
 
 
 def intern(df: DataFrame, key, seq) -> DataFrame:
