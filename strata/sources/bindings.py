@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from strata.functions.ids import edge_id, entity_id
+from strata.functions.ids import edge_id
 from strata.functions.props import to_map
 from strata.operators.dedup import union_facts
 from strata.sources.corpus import as_sources
@@ -31,7 +31,8 @@ _UNSPLIT_FROM, _SPLIT = 1 << 20, 128 << 20
 
 
 def key_id(kind: str, key: str) -> Column:
-    return entity_id(kind, F.col(key).cast("string"))
+    """Entity id of a numeric key: digits need no folding, so the id is put together directly."""
+    return F.concat(F.lit(f"{kind.lower()}:"), F.col(key).cast("string"))
 
 
 # Node kinds with their key, name and owner columns.
