@@ -27,3 +27,11 @@ def op5_encode_decode(spark: SparkSession, sf: str) -> DataFrame:
     from strata.llm.bpe import encode_digests
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op10_simhash_popcount(spark: SparkSession, sf: str) -> DataFrame:
+    from strata.llm.popcount import as_hex, near_duplicates
+    found = near_duplicates(table(spark, sf, "documents"))
+    return found.select(F.col("id").alias("doc_id"), as_hex(F.col("fp")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
