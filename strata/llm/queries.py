@@ -35,3 +35,11 @@ def op10_simhash_popcount(spark: SparkSession, sf: str) -> DataFrame:
     found = near_duplicates(table(spark, sf, "documents"))
     return found.select(F.col("id").alias("doc_id"), as_hex(F.col("fp")).alias("fingerprint"),
                         F.col("component").alias("component_id"))
+
+
+@query()
+def op4_line_hashing(spark: SparkSession, sf: str) -> DataFrame:
+    from strata.llm.lines import remove_repeats
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.length("text").cast("bigint").alias("n_before"))
+    return remove_repeats(docs).select("doc_id", "text", "removed", F.size("removed").cast("bigint").alias("n_removed"),
+                                       (F.col("n_before") - F.length("text")).alias("chars_removed"))
