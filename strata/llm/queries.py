@@ -43,3 +43,27 @@ def op4_line_hashing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", F.length("text").cast("bigint").alias("n_before"))
     return remove_repeats(docs).select("doc_id", "text", "removed", F.size("removed").cast("bigint").alias("n_removed"),
                                        (F.col("n_before") - F.length("text")).alias("chars_removed"))
+
+
+_OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS k, item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
+bw AS (SELECT k, item_id, least(len(w), 13) AS n, array_to_string(w[s:s + least(len(w), 13) - 1], ' ') AS g
+       FROM b, LATERAL (SELECT unnest(generate_series(1, greatest(len(w) - 12, 1))) AS s) WHERE len(w) > 0),
+ns AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, s, n, array_to_string(w[s:s + n - 1], ' ') AS g FROM d, ns, LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS s)),
+h AS (SELECT DISTINCT r, s, n, k, item_id FROM dw JOIN bw USING (n, g)),
+c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + n - 1)) AS p FROM h) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, array_to_string(list_sort(list(item_id::VARCHAR)), ',') AS items FROM (SELECT DISTINCT r, k, item_id FROM h) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN i USING (r)"""
+
+
+@query(_OP8_SQL)
+def op8_positional_index(spark: SparkSession, sf: str) -> DataFrame:
+    from strata.llm.postings import contamination
+    found = contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
