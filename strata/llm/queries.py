@@ -67,3 +67,10 @@ def op8_positional_index(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
                         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+@query()
+def op1_hidden_markov(spark: SparkSession, sf: str) -> DataFrame:
+    from strata.llm.hmm import scores
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    return scores(table(spark, sf, "documents"), held).withColumnRenamed("id", "doc_id")
