@@ -74,3 +74,11 @@ def op1_hidden_markov(spark: SparkSession, sf: str) -> DataFrame:
     from strata.llm.hmm import scores
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
     return scores(table(spark, sf, "documents"), held).withColumnRenamed("id", "doc_id")
+
+
+@query()
+def op2_slot_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document on one of 64 shards; a hot source spreads, since the id is the key."""
+    from strata.llm.slots import lookup, place
+    shards = lookup(spark, [f"shard-{i:03d}" for i in range(64)])
+    return place(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", shards)
