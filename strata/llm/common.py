@@ -59,3 +59,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(n.lower())
         out.append(n)
     return out
+
+
+def labelled_sample(df: DataFrame, labels: DataFrame, id: str, columns: list[str], rows: int) -> DataFrame:
+    """Rows of ``df`` with their label columns, for at most ``rows`` labelled ids: those whose hash is
+    least, so the choice depends on the ids alone. ``rows`` bounds what is broadcast."""
+    chosen = (labels.where(F.col(id).isNotNull()).groupBy(id).agg(*[F.max(c).alias(c) for c in columns])
+              .orderBy(F.xxhash64(id), id).limit(rows))
+    key, = fresh(df, "_key")
+    chosen = F.broadcast(chosen.withColumnRenamed(id, key))
+    return df.drop(*columns).join(chosen, F.col(id) == F.col(key)).drop(key)

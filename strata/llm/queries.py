@@ -82,3 +82,13 @@ def op2_slot_table(spark: SparkSession, sf: str) -> DataFrame:
     from strata.llm.slots import lookup, place
     shards = lookup(spark, [f"shard-{i:03d}" for i in range(64)])
     return place(table(spark, sf, "documents").select("doc_id", "source"), "doc_id", shards)
+
+
+@query()
+def op3_classifier_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled categories in the order of the chain: poor texts, then toxic ones."""
+    from strata.llm.chain import predict, train
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    labels = table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
+    scored = predict(docs, train(docs, labels, ["poor", "toxic"]))
+    return scored.select("doc_id", "p_poor", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
