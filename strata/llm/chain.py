@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain of linear models.
 
 Categories are label columns in the order of the chain. The model of a category is a logistic
-regression on words (present or not) and on a few shares of the text's characters, and on the log
+regression on words and beginnings of words (present or not), on a few shares of the text's characters, and on the log
 odds that the models before it give to their categories. In training those are out-of-fold
 predictions: each row's comes from models that did not see its fold, so later models learn what
 earlier predictions are worth on unseen texts. Words are chosen by how much more often they occur in
@@ -26,9 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strata.llm.common import labelled_sample, map_arrow
+from strata.session import written
 
 SAMPLE = 10_000
+WORDS_KEPT = 200_000
 WORDS = 256
+STEMS = range(4, 9)
 LEAST_TEXTS = 5  # a word in fewer sampled texts is not a feature
 FOLDS = 5
 RIDGE = 1.0
@@ -40,6 +43,12 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def terms_of(words) -> set[str]:
+    """Distinct words, and beginnings of ``STEMS`` letters with a star behind them."""
+    words = set(words)
+    return words.union(*({f"{w[:n]}*" for w in words if len(w) >= n} for n in STEMS))
+
+
 def shares(text: str, words: list[str]) -> list[float]:
     """Length (log), shares of capitals, signs and digits, mean word length (log), share of repeats."""
     data = text.encode("utf-8", "surrogatepass")
@@ -94,6 +103,22 @@ class Chain:
     categories: list[str]
     words: list[dict[str, int]] = field(default_factory=list)
     models: list[Linear] = field(default_factory=list)
+    thresholds: list[float] = field(default_factory=list)  # probabilities from which a category holds
+    _of_word: dict | None = None
+
+    def terms(self, words: list[str]) -> set[str]:
+        """The terms of a text that some model knows; what a word gives is kept, as words recur."""
+        if self._of_word is None:
+            self._of_word, self._known = {}, set().union(*self.words)
+        out: set[str] = set()
+        for w in set(words):
+            got = self._of_word.get(w)
+            if got is None:
+                if len(self._of_word) > WORDS_KEPT:
+                    self._of_word.clear()
+                got = self._of_word[w] = tuple(terms_of([w]) & self._known)
+            out.update(got)
+        return out
 
     def inputs(self, k: int, word_sets: list[set], dense: np.ndarray, earlier: np.ndarray) -> np.ndarray:
         """Features of category ``k``; ``earlier`` has a column of log odds for each category before it."""
@@ -107,20 +132,32 @@ class Chain:
         """Probabilities, a column for each category."""
         words = [words_of(t) for t in texts]
         dense = np.array([shares(t, w) for t, w in zip(texts, words)]).reshape(len(texts), N_SHARES)
-        sets, odds = [set(w) for w in words], np.zeros((len(texts), len(self.categories)))
+        sets, odds = [self.terms(w) for w in words], np.zeros((len(texts), len(self.categories)))
         for k, model in enumerate(self.models):
             odds[:, k] = model.logit(self.inputs(k, sets, dense, odds))
         return 1 / (1 + np.exp(-odds))
 
 
+def best_threshold(odds: np.ndarray, y: np.ndarray) -> float:
+    """Probability at which out-of-fold predictions reach the best F1; between 0.1 and 0.9."""
+    order = np.argsort(-odds, kind="stable")
+    right = np.cumsum(y[order])
+    f1 = 2 * right / (np.arange(1, len(y) + 1) + max(1.0, y.sum()))
+    if not len(y) or not right[-1]:
+        return 0.5
+    at = int(f1.argmax())
+    below = odds[order[at + 1]] if at + 1 < len(y) else odds[order[at]]
+    return float(np.clip(1 / (1 + np.exp(-(odds[order[at]] + below) / 2)), 0.1, 0.9))
+
+
 def _choose(texts: DataFrame, category: str) -> dict[str, int]:
     """The words that say most about a category, by the deviation from its share, in order."""
-    has = F.col(category).cast("double")
+    has = F.col(category)
     total = texts.where(has.isNotNull()).agg(F.count(F.lit(1)), F.avg(has)).first()
     share = total[1] or 0.0
     if not 0 < share < 1:
         return {}
-    each = (texts.where(has.isNotNull()).select(has.alias("y"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("w"))
+    each = (texts.where(has.isNotNull()).select(has.alias("y"), F.explode("terms").alias("w"))
             .where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s")).where(F.col("n") >= LEAST_TEXTS))
     z = F.abs((F.col("s") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share)))
     return {r["w"]: i for i, r in enumerate(each.select("w", z.alias("z")).orderBy(F.desc("z"), "w").limit(WORDS).collect())}
@@ -130,23 +167,26 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id: str = "
           sample: int = SAMPLE) -> Chain:
     """``labels``: ids with a 0/1 column for each category."""
     plain = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = labelled_sample(plain, labels.select(F.col(id).alias("id"), *categories), "id", categories, sample).persist()
+    texts = labelled_sample(plain, labels.select(F.col(id).alias("id"), *categories), "id", categories, sample)
+
+    def terms(batch: pa.RecordBatch):
+        yield {"terms": [sorted(terms_of(words_of(t))) for t in batch.column("text").to_pylist()]} | {
+            c: batch.column(c) for c in ("id", "text", *categories)}
+    fields = ", ".join(f"`{c}` double" for c in categories)
+    kind = docs.schema[id].dataType.simpleString()
+    doubles = [F.col(c).cast("double").alias(c) for c in categories]
+    texts = written(map_arrow(texts.select("id", "text", *doubles), terms, f"id {kind}, text string, terms array<string>, {fields}"), "sample")
     chain = Chain(list(categories))
     chain.words = [_choose(texts, c) for c in categories]
     wanted = set().union(*chain.words)
 
     def run(batch: pa.RecordBatch):
-        out = {"dense": [], "words": []}
-        for t in batch.column(0).to_pylist():
-            w = words_of(t)
-            out["dense"].append(shares(t, w))
-            out["words"].append(sorted(wanted.intersection(w)))
-        yield out | {c: batch.column(c) for c in ("fold", *categories)}
-    schema = "dense array<double>, words array<string>, fold int, " + ", ".join(f"`{c}` double" for c in categories)
-    picked = texts.select("text", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"),
-                          *[F.col(c).cast("double").alias(c) for c in categories])
+        texts_, found = batch.column("text").to_pylist(), batch.column("terms").to_pylist()
+        yield {"dense": [shares(t, words_of(t)) for t in texts_], "words": [sorted(wanted.intersection(w)) for w in found]} | {
+            c: batch.column(c) for c in ("fold", *categories)}
+    schema = f"dense array<double>, words array<string>, fold int, {fields}"
+    picked = texts.select("text", "terms", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), *categories)
     rows = map_arrow(picked, run, schema).collect()
-    texts.unpersist()
     # The same order at every run: sums of floating point numbers depend on it.
     rows.sort(key=lambda r: (r["fold"], r["dense"], r["words"]))
     sets = [set(r["words"]) for r in rows]
@@ -155,21 +195,24 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id: str = "
     for k, c in enumerate(categories):
         y = np.array([np.nan if r[c] is None else r[c] for r in rows], float)
         x, known = chain.inputs(k, sets, dense, odds), ~np.isnan(y)
-        if k + 1 < len(categories):  # later models learn from out-of-fold predictions
-            for f in range(FOLDS):
-                odds[fold == f, k] = Linear.fit(x[known & (fold != f)], y[known & (fold != f)]).logit(x[fold == f])
+        for f in range(FOLDS):  # later models learn from out-of-fold predictions
+            odds[fold == f, k] = Linear.fit(x[known & (fold != f)], y[known & (fold != f)]).logit(x[fold == f])
+        chain.thresholds.append(best_threshold(odds[known, k], y[known]))
         chain.models.append(Linear.fit(x[known], y[known]))
     return chain
 
 
 def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """``docs`` with a probability ``p_<category>`` for each category of the chain."""
+    """``docs`` with a probability ``p_<category>`` and a verdict ``is_<category>`` for each category."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    added = [f"p_{c}" for c in chain.categories]
+    added = [f"{x}_{c}" for c in chain.categories for x in ("p", "is")]
     kept = [f for f in docs.schema.fields if f.name.lower() not in {a.lower() for a in added}]
 
     def run(batch: pa.RecordBatch):
         p = shared.value.predict([t or "" for t in batch.column(text).to_pylist()])
-        yield {f.name: batch.column(f.name) for f in kept} | {a: p[:, k].tolist() for k, a in enumerate(added)}
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{a}` double" for a in added)])
+        out = {f.name: batch.column(f.name) for f in kept}
+        for k, c in enumerate(chain.categories):
+            out |= {f"p_{c}": p[:, k].tolist(), f"is_{c}": (p[:, k] >= chain.thresholds[k]).tolist()}
+        yield out
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{a}` {'double' if a.startswith('p_') else 'boolean'}" for a in added)])
     return map_arrow(docs.select(*[f"`{f.name}`" for f in kept]), run, schema, rows=256)

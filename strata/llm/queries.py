@@ -91,4 +91,4 @@ def op3_classifier_chain(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     labels = table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
     scored = predict(docs, train(docs, labels, ["poor", "toxic"]))
-    return scored.select("doc_id", "p_poor", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return scored.select("doc_id", "p_poor", "p_toxic", F.col("is_toxic").alias("toxic"))
