@@ -92,3 +92,12 @@ def op3_classifier_chain(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select("doc_id", (1 - F.col("quality")).alias("poor"), "toxic")
     scored = predict(docs, train(docs, labels, ["poor", "toxic"]))
     return scored.select("doc_id", "p_poor", "p_toxic", F.col("is_toxic").alias("toxic"))
+
+
+@query()
+def op7_decision_list(spark: SparkSession, sf: str) -> DataFrame:
+    from strata.llm.decisions import COUNTS, judge, measures, train
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rules = train(docs, table(spark, sf, "labels"))
+    judged = judge(measures(docs).drop("text"), rules)
+    return judged.select("doc_id", *COUNTS, "base_failed", "kept", "rule")
