@@ -101,3 +101,24 @@ def op7_decision_list(spark: SparkSession, sf: str) -> DataFrame:
     rules = train(docs, table(spark, sf, "labels"))
     judged = judge(measures(docs).drop("text"), rules)
     return judged.select("doc_id", *COUNTS, "base_failed", "kept", "rule")
+
+
+# The rules of the query.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+# Words in hosts that label a URL as bad for training.
+BAD_HOST_WORDS = ["spam", "pills", "casino", "bets"]
+
+
+@query()
+def op9_boosted_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled URLs: a page's URL ends in the number of the document that it shows. Its label is that
+    document's, bad if its quality is 0, and bad for hosts with a word that marks them."""
+    from strata.llm.boosting import host_of, judge, path_of
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    numbered = pages.withColumn("doc_id", F.regexp_extract(path_of(F.col("url")), r"(\d+)[^/\d]*/?$", 1).try_cast("bigint"))
+    marked = F.lit(False)
+    for w in BAD_HOST_WORDS:
+        marked = marked | host_of(F.col("url")).contains(w)
+    labelled = numbered.join(labels, "doc_id", "left").select("url", F.when(marked, 1).when(F.col("quality").isNotNull(), 1 - F.col("quality")).alias("bad"))
+    return judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "p_bad")
