@@ -122,3 +122,10 @@ def op9_boosted_urls(spark: SparkSession, sf: str) -> DataFrame:
         marked = marked | host_of(F.col("url")).contains(w)
     labelled = numbered.join(labels, "doc_id", "left").select("url", F.when(marked, 1).when(F.col("quality").isNotNull(), 1 - F.col("quality")).alias("bad"))
     return judge(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "p_bad")
+
+
+@query()
+def op6_style_tree(spark: SparkSession, sf: str) -> DataFrame:
+    from strata.llm.styletree import main_texts
+    found = main_texts(table(spark, sf, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
