@@ -93,6 +93,7 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
     # Open elements: tag, path, noise, inside an article.
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
     text: list[str] = []
+    muted = 0  # open inline elements of no importance: their text is left out of the block around them
 
     def flush() -> None:
         if text:
@@ -102,23 +103,29 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
                 blocks.append((stack[-1][1], words, any(s[2] for s in stack), any(s[3] for s in stack)))
 
     def close(depth: int) -> None:
+        nonlocal muted
         if any(s[0] in BLOCK_TAGS for s in stack[depth:]):
             flush()
+        muted -= sum(s[2] and s[0] not in BLOCK_TAGS for s in stack[depth:])
         del stack[depth:]
 
+    def add(piece: str) -> None:
+        if not muted:
+            text.append(piece)
+
     at, n = 0, len(page)
     while at < n:
         tag = page.find("<", at)
         if tag < 0:
-            text.append(page[at:])
+            add(page[at:])
             break
         m = _TAG.match(page, tag)
         if not m:  # a sign, not a tag
-            text.append(page[at:tag + 1])
+            add(page[at:tag + 1])
             at = tag + 1
             continue
         if tag > at:
-            text.append(page[at:tag])
+            add(page[at:tag])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -159,7 +166,7 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
         if not m[3].rstrip().endswith("/") or name in BLOCK_TAGS:
             if noise and name not in BLOCK_TAGS:
                 text.append(" ")
-                flush()
+                muted += 1
             stack.append((name, path, noise, name in ("article", "main") and not noise))
     flush()
     return blocks, {p: xxhash.xxh64_intdigest(" ".join(c)) >> 1 for p, c in children.items()}
