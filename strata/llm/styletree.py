@@ -100,7 +100,7 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
             words = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if words:
-                blocks.append((stack[-1][1], words, any(s[2] for s in stack), any(s[3] for s in stack)))
+                blocks.append((stack[-1][1], words, any(s[2] and s[0] in BLOCK_TAGS for s in stack), any(s[3] for s in stack)))
 
     def close(depth: int) -> None:
         nonlocal muted
