@@ -51,16 +51,18 @@ class Index:
         self.items = written(texts.select("item", "item_id", F.size("words").alias("n"), F.posexplode("words").alias("off", "word")), "items")
         terms = self.items.select("word").distinct()
         self.terms = written(terms.select("word", F.xxhash64("word").alias("term")), "terms")
-        # A posting of a null word behind the last one carries the number of words.
+        # A posting of a null word behind the last one carries the number of words and names the document.
         ends = F.concat(split_words(F.col(text)), F.array(F.lit(None).cast("string")))
-        rows = (docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), ends.alias("w"))
-                .select("row", "doc_id", F.posexplode("w").alias("pos", "word")))
+        rows = (docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"),
+                            F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), ends.alias("w"))
+                .select("row", "doc_id", "text_hash", F.posexplode("w").alias("pos", "word")))
         known = rows.join(_small(self.terms), "word", "left").where("term is not null or word is null")
-        self.postings = written(known.select("term", "row", "doc_id", "pos"), "postings")
+        of_doc = lambda c: F.when(F.col("word").isNull(), F.col(c)).alias(c)
+        self.postings = written(known.select("term", "row", "pos", of_doc("doc_id"), of_doc("text_hash")), "postings")
 
     def docs(self) -> DataFrame:
-        """(row, doc_id, n_words)"""
-        return self.postings.where("term is null").select("row", "doc_id", F.col("pos").cast("bigint").alias("n_words"))
+        """(row, doc_id, text_hash, n_words)"""
+        return self.postings.where("term is null").select("row", "doc_id", "text_hash", F.col("pos").cast("bigint").alias("n_words"))
 
     def frequencies(self) -> DataFrame:
         """(term, tf) over the corpus; words that never occur have none."""
@@ -132,8 +134,8 @@ def proximity(index: Index, span: int) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
                   item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit (words inside any occurrence of a window), items (sorted
-    ids of the items with occurring windows, as strings)."""
+    """Per row of ``docs``: doc_id, text_hash (xxhash64 of the text), n_words, n_hit (words inside any
+    occurrence of a window), items (sorted ids of the items with occurring windows, as strings)."""
     index = Index(docs, items, doc_id, item_id, text)
     found = written(phrases(index, window), "phrases")
     # Runs of several items may overlap: a word counts for the first run that holds it.
@@ -143,5 +145,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, doc_i
     names = found.select("row", "item").distinct().join(_small(index.items.select("item", "item_id").distinct()), "item")
     listed = names.groupBy("row").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
     return (index.docs().join(hits.join(listed, "row"), "row", "left")
-            .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
-                    F.coalesce("items", F.array().cast("array<string>")).alias("items"), "row"))
+            .select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
+                    F.coalesce("items", F.array().cast("array<string>")).alias("items")))
