@@ -100,18 +100,19 @@ def cells(points: DataFrame, choices) -> DataFrame:
             .withColumn("cell", F.col("point").bitwiseAND(F.col("mask"))).drop("mask"))
 
 
-def shared_cells(cells: DataFrame) -> DataFrame:
-    """The rows of cells with several members, with their number ``n``; written once."""
-    sizes = cells.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return written(cells.join(sizes, ["choice", "cell"]), "cells")
+def crowded_cells(cells: DataFrame, limit: int) -> DataFrame:
+    """(choice, cell) of the cells with more than ``limit`` members; written once."""
+    sizes = cells.groupBy("choice", "cell").agg(F.count(F.lit(1)).alias("n"))
+    return written(sizes.where(F.col("n") > limit).select("choice", "cell"), "crowded")
 
 
 def links(distinct: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """(a, b) pairs of different fingerprints at most four bits apart; ``distinct`` has each once, as
     ``fp``. Within crowded cells only as many pairs as keep them connected."""
     points = distinct.select("fp", embed(F.col("fp")).alias("point"))
-    shared = shared_cells(cells(points, combinations(range(len(GROUPS)), 3)))
-    calm = shared.where(F.col("n") <= cell_limit)
+    placed = cells(points, combinations(range(len(GROUPS)), 3))
+    crowded = crowded_cells(placed, cell_limit)
+    calm = placed.join(crowded, ["choice", "cell"], "left_anti")
     left = calm.select("choice", "cell", F.col("fp").alias("a"), F.col("point").alias("pa"))
     right = calm.select("choice", "cell", F.col("fp").alias("b"), F.col("point").alias("pb"))
     pairs = left.join(right, (left.choice == right.choice) & (left.cell == right.cell) & (F.col("a") < F.col("b"))
@@ -119,7 +120,7 @@ def links(distinct: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
     # Members of crowded cells meet at the points within two bits of both: flip two of 64 bits, where a
     # 65th stands for no flip, or none at all.
     bit = lambda i: F.when(F.col(i) < 64, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(i))).otherwise(F.lit(0).cast("bigint"))
-    at = (shared.where(F.col("n") > cell_limit).select("fp").distinct()
+    at = (placed.join(crowded, ["choice", "cell"], "left_semi").select("fp").distinct()
           .select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
           .select("fp", "i", F.explode(F.sequence(F.col("i"), F.lit(64))).alias("j"))
           .where("i < j or i = 64")
