@@ -10,7 +10,8 @@ of the other folds, so that they don't give its own label away. The trees are fi
 20,000 by default), with thresholds at quantiles; every URL is scored.
 
 Edge cases: null and URLs without ``://`` have an empty host and path and are judged by the trees; a
-port or a user name stays in the host; without labels of both kinds the trees allow everything; equal
+port or a user name stays in the host; without labelled URLs the trees allow everything, and with those of
+one kind they say that kind; equal
 URLs get equal verdicts; an empty table gives an empty table; columns of the input named like the
 results are replaced.
 """
@@ -89,7 +90,9 @@ class Boosted:
             least: int = 10, ridge: float = 1.0):
         share = (y.sum() + 0.5) / (len(y) + 1)
         model = cls(float(np.log(share / (1 - share))), [])
-        if not len(y) or y.min() == y.max():
+        if not len(y):
+            return cls(-20.0, [])
+        if y.min() == y.max():
             return model
         cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T)], axis=1)  # bin b: value <= cuts[b]
