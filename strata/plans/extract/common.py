@@ -10,10 +10,25 @@ from strata.functions.ids import edge_id, entity_id
 from strata.functions.props import drop_nulls, to_map
 from strata.model import edges_like, nodes_like
 
-# One nesting-aware argument list, up to three levels deep.
-ARGS = r"\([^()]*+(?:\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)[^()]*+)*+\)"
-# Type arguments, up to two levels deep.
-GENERIC = r"(?:<[^<>(){};]*+(?:<[^<>(){};]*+>[^<>(){};]*+)*+>)?"
+# Levels of brackets that the patterns below follow. Each level adds a few characters to a pattern and
+# nothing to the work on texts that do not use it.
+DEPTH = 64
+
+
+def nested(left: str, right: str, but: str = "", depth: int = DEPTH) -> str:
+    """Pattern of a bracketed stretch with brackets of its kind in it. ``but`` lists characters that end it."""
+    plain = rf"[^{left}{right}{but}]*+"
+    out = rf"{left}{plain}{right}"
+    for _ in range(depth - 1):
+        out = rf"{left}{plain}(?:{out}{plain})*+{right}"
+    return out
+
+
+# A list of arguments.
+ARGS = nested(r"\(", r"\)")
+BRACES = nested(r"\{", r"\}")
+# Type arguments.
+GENERIC = rf"(?:{nested('<', '>', '(){};')})?"
 
 
 def keyword(words) -> str:
@@ -81,7 +96,7 @@ def lines(sources: DataFrame) -> DataFrame:
 
 def split_args(args: Column) -> Column:
     """Arguments of a list without its parentheses, cut at commas outside brackets."""
-    part = r"(?:[^,(){}\[\]<>]++|=>|\([^()]*+\)|\{[^{}]*+\}|\[[^\[\]]*+\]|<[^<>]*+>|[<>])++"
+    part = (r"(?:[^,(){}\[\]<>]++|=>|" + "|".join([ARGS, BRACES, nested(r"\[", r"\]"), nested("<", ">", "(){};")]) + r"|[<>])++")
     return F.filter(F.transform(F.regexp_extract_all(args, F.lit(part), F.lit(0)), strip),
                     lambda a: a != "")
 

@@ -121,3 +121,32 @@ def test_balance_report_finds_open_braces(sources):
 def test_attr_values(spark):
     d = spark.createDataFrame([('"a b"',), ("'c'",), ("{ x }",), ("{}",), ("",), ("bare",)], "c string")
     assert [r[0] for r in d.select(text.attr_value("c")).collect()] == ["a b", "c", "{x}", "{expression}", "true", "bare"]
+
+
+def _deep(left, right, core, n=50):
+    return left * n + core + right * n
+
+
+def test_brackets_to_depth_fifty(sources):
+    """What lies deep in brackets costs no declaration, parameter, column or element."""
+    call = "".join("f(" for _ in range(50)) + "1" + ")" * 50
+    types = "".join("Map<string, " for _ in range(50)) + "number" + ">" * 50
+    d = _ts(sources, f"function deep(a = {call}, b = 2) {{\n}}\nfunction gen(x: {types}, y: number) {{\n}}\n")
+    n = typescript.nodes(d)
+    assert {r[0] for r in rows(n.where("kind = 'Function'"), "name")} == {"deep", "gen"}
+    assert [r[0] for r in rows(n.where("kind = 'Parameter'"), "name")] == ["a", "b", "x", "y"]
+    j = java.decorate(sources(("/A.java", f"class A {{\n  @Tag({_deep('(', ')', '1')})\n  {types.replace('string', 'String').replace('number', 'Integer')} f;\n"
+                                          f"  void run(@B({_deep('(', ')', '2')}) int q) {{\n  }}\n}}\n")))
+    assert {r[0] for r in rows(java.nodes(j), "name")} >= {"f", "run"}
+    s = sql.decorate(sources(("/a.sql", f"create table t (id int, name varchar(9) default lower({_deep('(', ')', '3')}), amount decimal(3, 2));")))
+    assert rows(sql.columns(s), "name") == [("amount",), ("id",), ("name",)]
+    m = markup.elements(sources(("/a.tsx", f"const x = (\n  <Foo on={_deep('{', '}', 'a')} id=\"1\" />\n);\n")))
+    assert rows(m, "tag") == [("Foo",)]
+
+
+def test_script_bodies_are_no_markup(sources):
+    page = "<html><head><script>var t = \"</p></html>\"; if (a<b) {}</script><title>a <b> c</title></head><body><p>x</p></body></html>"
+    m = markup.elements(sources(("/a.html", page)).withColumn("language", F.lit("HTML")))
+    parent = {r["entity_id"]: r["tag"] for r in m.collect()}
+    assert {(r["tag"], parent.get(r["parent_id"])) for r in m.collect()} == {
+        ("html", None), ("head", "html"), ("script", "head"), ("title", "head"), ("body", "html"), ("p", "body")}
