@@ -18,37 +18,51 @@ def as_sources(df: DataFrame) -> DataFrame:
         "language": language(ext_name(path))})
 
 
-def _children(spark: SparkSession, root: str) -> list[tuple[str, bool]]:
-    """(path, is folder) one level below ``root``."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folder = hadoop.Path(root)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [(s.getPath().toUri().getPath(), s.isDirectory()) for s in fs.listStatus(folder)]
+def _any_case(ext: str) -> str:
+    """Path pattern of an extension in whatever case."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in ext)
 
 
-def pruned_roots(spark: SparkSession, root: str, globs) -> list[str]:
-    """Root expanded one level with ignored children left out, so their trees are never listed."""
-    rx = re.compile(ignore_regex(globs))
-    return [p for p, _ in _children(spark, root) if not rx.search(p)]
+def scan_roots(spark: SparkSession, root: str, globs, exts=EXTENSIONS) -> list[str]:
+    """The folders one level below ``root`` that no pattern ignores, so that ignored trees are never listed,
+    and one pattern for the source files in ``root`` itself. Files are not held, only looked at."""
+    rx = re.compile(ignore_regex(globs)) if globs else None
+    wanted = tuple(e.lower() for e in dotted(exts))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(root)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(folder)
+    folders, has_files = [], False
+    while listed.hasNext():
+        s = listed.next()
+        path = s.getPath().toUri().getPath()
+        if s.isDirectory():
+            if not (rx and rx.search(path)):
+                folders.append(s.getPath().toString())
+        elif not s.getPath().getName().startswith(("_", ".")):
+            has_files = has_files or path.lower().endswith(wanted)
+    files = f"{root.rstrip('/')}/*{{{','.join(sorted({_any_case(e) for e in wanted}))}}}"
+    return sorted(folders) + [files] * has_files
 
 
 def scan_corpus(spark: SparkSession, root: str, exts=EXTENSIONS, ignore=(), prune: bool = True,
                 on_error: str = "skip", observation: Observation | None = None) -> DataFrame:
     """Files below ``root`` as (path, name, extension, language, size, mtime, text).
 
-    Extension and ignore filters use file metadata only. Unreadable files are skipped unless
-    ``on_error="fail"``; ``observation`` counts what was read."""
-    globs = ignore_patterns(ignore, root)
-    roots = pruned_roots(spark, root, globs) if prune and globs else [root]
-    wanted = dotted(exts)
-    glob = "*{" + ",".join(sorted({e for x in wanted for e in (x.lower(), x.upper(), x)})) + "}"
+    Extension and ignore filters use file metadata only; ``prune`` leaves ignored trees out of the listing
+    too, with the same rows. Unreadable files are skipped unless ``on_error="fail"``; ``observation``
+    counts what was read. Spark lists no file whose name starts with ``_`` or ``.``."""
+    globs = ignore_patterns(ignore)
+    wanted = [e.lower() for e in dotted(exts)]
+    roots = scan_roots(spark, root, globs if prune else (), wanted)
+    glob = "*{" + ",".join(sorted({_any_case(x) for x in wanted})) + "}"
     skip = "true" if on_error == "skip" else "false"
+    reader = (spark.read.format("text").option("wholetext", True)
+              .option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+              .option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip))
     if not roots:
-        raise FileNotFoundError(f"no scannable entry in {root}")
-    raw = (spark.read.format("text").option("wholetext", True)
-           .option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-           .option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip)
-           .load(roots))
+        schema = "path string, name string, extension string, language string, size bigint, mtime timestamp, text string"
+        return spark.createDataFrame([], schema)
+    raw = reader.load(roots)
     located = raw.select(
         F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))),
                          "^[a-z0-9]+:/*(?=/)", "").alias("path"),

@@ -18,8 +18,6 @@ IGNORE = [
     "**/public/**", ".DS_Store",
 ]
 
-FIXTURE_PATTERN = "**/__tests__/**"
-
 
 def union_lists(*lists) -> list[str]:
     """Union without repeats, first occurrence first."""
@@ -30,11 +28,9 @@ def dotted(exts) -> list[str]:
     return [e if e.startswith(".") else f".{e}" for e in exts]
 
 
-def ignore_patterns(user=(), root: str = "") -> list[str]:
-    """Default and user patterns; the fixture pattern is exempt among the defaults when the
-    root lies inside such a folder."""
-    base = [p for p in IGNORE if not ("__tests__" in root and p == FIXTURE_PATTERN)]
-    return union_lists(base, user)
+def ignore_patterns(user=()) -> list[str]:
+    """Default and user patterns."""
+    return union_lists(IGNORE, user)
 
 
 def glob_regex(glob: str) -> str:

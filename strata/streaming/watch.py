@@ -22,7 +22,7 @@ def watch_files(spark: SparkSession, root: str, exts=EXTENSIONS, ignore=(), max_
     raw = reader.load(root).select(
         F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/*(?=/)", "").alias("path"),
         F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("mtime"))
-    return filter_ignored(filter_extensions(as_sources(raw), exts), ignore_patterns(ignore, root))
+    return filter_ignored(filter_extensions(as_sources(raw), exts), ignore_patterns(ignore))
 
 
 def manifest(sources: DataFrame) -> DataFrame:

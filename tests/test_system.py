@@ -9,7 +9,7 @@ from conftest import rows
 from strata.plans.analyze import AnalyzeConfig, analyze, analyze_directory
 from strata.plans.graph import schema, unresolved
 from strata.sources import facts, globs
-from strata.sources.corpus import pruned_roots, scan_corpus, spread
+from strata.sources.corpus import scan_corpus, scan_roots, spread
 from strata.sources.store import GraphStore, check_graph, lookup
 from strata.streaming import watch
 
@@ -44,12 +44,24 @@ def test_scan_filters_and_observes(spark, corpus):
     assert [r[0].replace(str(corpus), "") for r in rows(df, "path")] == [
         "/py/bad.py", "/py/m.py", "/src/B.TS", "/src/a.ts", "/src/b.ts", "/src/with space+plus.ts"]
     assert seen.get["files"] == 6
-    assert not any("node_modules" in p or p.endswith("dist") for p in pruned_roots(spark, str(corpus), globs.ignore_patterns()))
+    assert not any("node_modules" in p or p.endswith("dist") for p in scan_roots(spark, str(corpus), globs.ignore_patterns()))
     flat = scan_corpus(spark, str(corpus), prune=False)
     assert rows(flat, "path") == rows(df, "path") == rows(spread(df, 3), "path")
     assert scan_corpus(spark, str(corpus), exts=["py"]).count() == 2
 
 
+def test_scan_is_the_same_with_and_without_pruning(spark, tmp_path):
+    for name in ("Foo.Java", "a.py", "_priv/x.py", "pkg/B.tSx", "pkg/deep/c.PY", "dist/no.py", "pkg/dist/no.py", "note.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    want = ["Foo.Java", "_priv/x.py", "a.py", "pkg/B.tSx", "pkg/deep/c.PY"]
+    for prune in (True, False):
+        assert [r[0].replace(f"{tmp_path}/", "") for r in rows(scan_corpus(spark, str(tmp_path), prune=prune), "path")] == want
+    empty = scan_corpus(spark, str(tmp_path / "pkg" / "deep"), exts=["go"])
+    assert empty.count() == 0 and "text" in empty.columns
+    assert scan_roots(spark, str(tmp_path), ()).count(str(tmp_path)) == 0
+
+
 def test_unreadable_files_are_skipped(spark, corpus):
     df = scan_corpus(spark, str(corpus))
     (corpus / "src/b.ts").unlink()
