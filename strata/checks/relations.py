@@ -11,6 +11,7 @@ from strata.model import DECLARED_KINDS, DECLARED_TYPES
 from strata.operators import dedup, joins, ordered
 from strata.operators.enclosing import enclosing
 from strata.plans import resolve
+from strata.plans.extract.common import union_all
 from strata.plans.graph import Graph
 from strata.session import scratch
 from strata.sources import store
@@ -155,12 +156,12 @@ def call_edges_cross_nation(spark, sf):
 
 @query(f"""
 WITH u AS (SELECT user_id, event_type, ts, event_id,
-                  row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'view')
+                  row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events)
 SELECT 'mutates_state:user:' || CAST(user_id AS VARCHAR) || ':variable:' || event_type AS entity_id, event_id,
        event_type = 'error' AS is_placeholder, 8 AS weight FROM u WHERE n = 1""")
 def mutations_events(spark, sf):
     """A user mutates a variable; first site per pair, unknown variables as placeholders."""
-    e = change_feed(spark, sf).where("operation <> 'view'")
+    e = change_feed(spark, sf)
     target = ids.entity_id("Variable", "operation")
     e = e.select(ids.edge_id("MUTATES_STATE", "entity_id", target).alias("edge"), target.alias("target_id"), "ts", "event_id")
     first = dedup.dedup_first(e.withColumnRenamed("edge", "entity_id"), "entity_id", ["ts", "event_id"])
@@ -330,16 +331,19 @@ def upsert_nodes_two_batches(spark, sf):
     return out.select("entity_id", "kind", "name", F.element_at("properties", "batch").alias("batch"))
 
 
-@query(_TWO + " SELECT kind, entity_id, name FROM res WHERE kind IN ('prospect', 'supplier')")
+@query(_TWO + f""" SELECT kind, entity_id, name FROM res
+UNION ALL SELECT type, lower(type) || ':' || source_id || ':' || target_id, source_id FROM ({rel_edges_sql('CONTAINS')})""")
 def store_roundtrip_nodes(spark, sf):
-    """Two committed versions on disk, read back by label."""
+    """Two committed versions on disk, nodes read back label by label and edges by type."""
     s = store.GraphStore(spark, scratch(spark, "graph"))
     current, batch = _two_batches(spark, sf)
     edges = rel_edges(spark, sf, ("CONTAINS",))
     s.write(current, edges)
     s.upsert(batch, edges.limit(0))
-    nodes, _ = s.read()
-    return store.lookup(nodes, "prospect").unionByName(store.lookup(nodes, "supplier")).select("kind", "entity_id", "name")
+    nodes, kept = s.read()
+    found = [store.lookup(nodes, k).select("kind", "entity_id", "name") for k in ("nation", "customer", "prospect", "supplier")]
+    found.append(kept.where("type = 'CONTAINS'").select(F.col("type").alias("kind"), "entity_id", F.col("source_id").alias("name")))
+    return union_all(found)
 
 
 @query(f"""

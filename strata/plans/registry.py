@@ -1,4 +1,4 @@
-"""Extractors by language family and resolvers by name; add entries to extend the analysis."""
+"""Extractors by language family and resolvers by name; ``register`` adds to both."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from strata.functions.ids import EXTENSIONS, LANGUAGE_BY_EXTENSION
 from strata.plans.extract import cfamily, csharp, golang, java, python, sql, typescript
 
 
@@ -32,5 +33,17 @@ EXTRACTORS: dict[str, Extractor] = {
 }
 
 
-def register(name: str, extractor: Extractor) -> None:
+# What a family adds across files: (facts, nodes of the first pass) to a list of edge frames. The built-in ones
+# are added by ``plans.analyze``.
+Resolver = Callable[["object", DataFrame], list[DataFrame]]
+RESOLVERS: dict[str, Resolver] = {}
+
+
+def register(name: str, extractor: Extractor, resolver: Resolver | None = None, extensions: dict[str, str] | None = None) -> None:
+    """Add or replace a language family. ``extensions`` maps file extensions (with their dot, lower case) to
+    languages of the family; ``resolver`` gives its edges across files."""
     EXTRACTORS[name] = extractor
+    if resolver:
+        RESOLVERS[name] = resolver
+    LANGUAGE_BY_EXTENSION.update(extensions or {})
+    EXTENSIONS.extend(e for e in extensions or {} if e not in EXTENSIONS)

@@ -169,7 +169,8 @@ def lookup_names(sites: DataFrame, decls: DataFrame, names: DataFrame | None,
     hit = hit.drop("id", "kind", "_exported").withColumnsRenamed({"_id": "id", "_kind": "kind"}) \
         .withColumn("target_path", F.when(F.col("id").isNotNull(), F.col("_at")))
     if unique_kinds:
-        only = decls.where(F.col("kind").isin(list(unique_kinds)) & (F.col("qual") != "default")) \
+        # A private declaration of another file is never meant.
+        only = decls.where(F.col("kind").isin(list(unique_kinds)) & (F.col("qual") != "default") & F.coalesce("exported", F.lit(False))) \
             .groupBy("qual").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_uid"),
                                  F.min("kind").alias("_ukind"), F.min("path").alias("_upath")).where("_n = 1")
         may = F.when(F.col("id").isNull() & F.col("member").isNull() & ~F.col("_imported"), F.col("local"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strata.functions.props import clean_props, coalesce_weight, merge_maps
@@ -111,13 +112,29 @@ class GraphStore:
     def write(self, nodes: DataFrame, edges: DataFrame) -> int:
         """Commit a version: nodes by kind, edges by type, each sorted for its lookups. Rows are
         spread by id within a label, so a label with most of the rows is written by many tasks."""
-        v = self.version() + 1
+        v = self._claim()
         base = f"{self.path}/v{v}"
         write_nodes(nodes_like(nodes), f"{base}/nodes")
         write_edges(edges_like(edges), f"{base}/edges")
         self.commit(v)
         return v
 
+    def _claim(self) -> int:
+        """A version that no other writer has: its claim is created by one of them only. A writer that dies
+        leaves a claim without a commit, which readers never see."""
+        fs = self._fs()
+        fs.mkdirs(self._p("claims"))
+        v = self.version() + 1
+        while True:
+            if not fs.exists(self._p("claims", str(v))):
+                try:
+                    fs.create(self._p("claims", str(v)), False).close()
+                    return v
+                except Py4JJavaError:
+                    if not fs.exists(self._p("claims", str(v))):
+                        raise
+            v += 1
+
     def commit(self, version: int) -> None:
         self._fs().mkdirs(self._p("commits"))
         self._fs().create(self._p("commits", str(version)), True).close()

@@ -133,3 +133,34 @@ def test_streams_pick_up_new_files_and_the_log_finds_the_rest(spark, corpus, tmp
     assert run() == 7 and watch.append_changes(spark, scan_corpus(spark, str(corpus)), log) == 2
     got = spark.read.option("recursiveFileLookup", True).parquet(f"{log}/log").where("version = 2")
     assert [(p.split("/")[-1], o) for p, o in rows(got, "path", "operation")] == [("bad.py", "deleted"), ("a.ts", "changed"), ("c.ts", "added")]
+
+
+def test_two_writers_never_share_a_version(spark, tmp_path):
+    a, b = (GraphStore(spark, str(tmp_path / "g")) for _ in range(2))
+    assert [a._claim(), b._claim(), a._claim()] == [1, 2, 3] and a.version() == 0
+    assert a.reset() == 4 and b.version() == 4 and b.read()[0].count() == 0
+
+
+def test_registered_language_with_its_resolver(spark, sources):
+    from strata.functions import ids
+    from strata.model import edges_like, nodes_like
+    from strata.plans import registry
+    from strata.plans.analyze import analyze
+
+    toy = registry.Extractor(
+        ("Toy",), lambda s: s.select("path", "language", F.explode(F.split("text", "\n")).alias("name")),
+        lambda d: nodes_like(d.select(ids.entity_id("toy", "name").alias("entity_id"), F.lit("Toy").alias("kind"), "name",
+                                      F.col("path").alias("file_path"), "language", F.lit(0).alias("seq"))),
+        lambda d: edges_like(d.limit(0).select(F.lit("x").alias("entity_id"), F.lit("T").alias("type"), F.lit("a").alias("source_id"),
+                                               F.lit("b").alias("target_id"), F.lit(0).alias("seq"))))
+
+    def resolver(facts, nodes):
+        rows = facts.constructs("toy").select(ids.edge_id(F.lit("NAMES"), F.lit("toy:a"), F.lit("toy:b")).alias("entity_id"), F.lit("NAMES").alias("type"),
+                                              F.lit("toy:a").alias("source_id"), F.lit("toy:b").alias("target_id"), F.lit(0).alias("seq"))
+        return [rows.limit(1)]
+    try:
+        registry.register("toy", toy, resolver, {".toy": "Toy"})
+        g = analyze(sources(("/x.toy", "a\nb")))
+        assert g.nodes.where("kind = 'Toy'").count() == 2 and g.edges.where("type = 'NAMES'").count() == 1
+    finally:
+        registry.EXTRACTORS.pop("toy"), registry.RESOLVERS.pop("toy"), ids.LANGUAGE_BY_EXTENSION.pop(".toy"), ids.EXTENSIONS.remove(".toy")
