@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from strata.session import scratch
+
 # ASCII white space separates words; everything else belongs to one.
 SPACE = r"[\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -69,3 +71,11 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id: str, columns: list[str
     key, = fresh(df, "_key")
     chosen = F.broadcast(chosen.withColumnRenamed(id, key))
     return df.drop(*columns).join(chosen, F.col(id) == F.col(key)).drop(key)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once under the shared folder and read back, packed more tightly than Spark's default;
+    for texts and whatever else is large."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -29,10 +29,10 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from strata.llm.common import lower_words, map_arrow, utf8
-from strata.session import written
+from strata.llm.common import lower_words, map_arrow, stored, utf8
 
 SYMBOLS = 1 << 14
 END = SYMBOLS  # number of the end symbol; SYMBOLS + 1 in all
@@ -41,7 +41,15 @@ ROUNDS = 4
 SEGMENT = 96
 BLOCK_BYTES = 4 << 20
 SMOOTHING = 0.1
-_RESCALE = 8
+_RESCALE = 4  # steps between rescalings
+
+
+def _pack(codes: np.ndarray) -> bytes:
+    return zstandard.compress(codes.astype("<u4").tobytes(), 3)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<u4")
 
 
 def symbol(word: bytes) -> int:
@@ -50,7 +58,7 @@ def symbol(word: bytes) -> int:
 
 def blocks(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per block: (block, ids, held, sizes, codes, words, symbols, counts). ``codes`` are
-    the texts' words as little-endian unsigned numbers into ``words``, ``symbols`` the words' symbols, and
+    the texts' words as compressed numbers into ``words``, ``symbols`` the words' symbols, and
     ``counts`` the words' numbers in the block's training texts. Block numbers are random: the table is
     written once, so a task that runs twice leaves one of its results."""
     kind = docs.schema[id].dataType.simpleString()
@@ -65,8 +73,8 @@ def blocks(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") ->
             if not held:
                 counts += np.bincount(c, minlength=len(known))
         return {"block": [uuid.uuid4().int >> 65], "ids": [[r[0] for r in rows]],
-                "held": [[r[1] for r in rows]], "sizes": [[len(c) for c in codes]], "codes": [np.concatenate(codes).tobytes()],
-                "words": [list(known)], "symbols": [np.array([symbol(w) for w in known], "<u4").tobytes()], "counts": [counts.tolist()]}
+                "held": [[r[1] for r in rows]], "sizes": [[len(c) for c in codes]], "codes": [_pack(np.concatenate(codes))],
+                "words": [list(known)], "symbols": [np.array([symbol(w) for w in known], "<u2").tobytes()], "counts": [counts.tolist()]}
 
     def run(batch: pa.RecordBatch):
         rows, texts, size = [], [], 0
@@ -80,13 +88,13 @@ def blocks(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text") ->
         if rows:
             yield pack(rows, texts)
     picked = docs.select(F.col(id).alias("id"), held_out.alias("held"), utf8(text).alias("t"))
-    return written(map_arrow(picked, run, schema, rows=4096), "blocks")
+    return stored(map_arrow(picked, run, schema, rows=4096), "blocks")
 
 
 def word_counts(found: DataFrame) -> DataFrame:
     """(word, c) of all training words, ``word`` in UTF-8."""
     each = found.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).select(F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
-    return written(each.where("c > 0").groupBy("word").agg(F.sum("c").cast("bigint").alias("c")), "words")
+    return stored(each.where("c > 0").groupBy("word").agg(F.sum("c").cast("bigint").alias("c")), "words")
 
 
 class Model:
@@ -144,95 +152,108 @@ class Segments:
         return self.where[self.first[texts] + j]
 
 
-def _entries(model: Model, seg: Segments):
-    """State distribution before each segment's first step, the product of each segment's steps, and the
-    log probability of each text."""
-    k = len(model.start)
-    total = np.broadcast_to(np.eye(k), (seg.n, k, k)).copy()
+def _entries(move: np.ndarray, emit: list[np.ndarray], start: np.ndarray, seg: Segments):
+    """State distribution before each segment's first step (states by columns), the product of each segment's
+    steps (from, to, column), and the log probability of each text. ``emit``: the relative emissions of each
+    step, states by columns. Columns come last everywhere, so that all sums run along them."""
+    k, back = len(start), np.ascontiguousarray(move.T)
+    total = np.repeat(np.eye(k, dtype=move.dtype)[:, :, None], seg.n, axis=2)
     scale = np.zeros(seg.n)
     for t, m in enumerate(seg.running):
         if not m:
             break
-        part = total[:m]
-        moved = (part.reshape(-1, k) @ model.move).reshape(m, k, k)
+        part = total[:, :, :m]
+        moved = np.matmul(back, part)
         if t == 0:  # the first step of a text has no move before it
-            moved[seg.opens] = part[seg.opens]
-        np.multiply(moved, model.emit[seg.grid[t, :m]][:, None, :], out=part)
+            moved[:, :, seg.opens] = part[:, :, seg.opens]
+        np.multiply(moved, emit[t], out=part)
         if t % _RESCALE == _RESCALE - 1:
-            top = part.reshape(m, -1).max(axis=1)
-            part /= top[:, None, None]
+            top = part.max(axis=(0, 1))
+            part /= top
             scale[:m] += np.log(top)
-    entry = np.empty((seg.n, k))
+    entry = np.empty((k, seg.n))
     log_p = np.zeros(len(seg.per_text))
-    state = np.broadcast_to(model.start, (len(seg.per_text), k)).copy()
+    state = np.repeat(start[:, None], len(seg.per_text), axis=1)
     for j in range(int(seg.per_text.max(initial=0))):
         who = np.flatnonzero(seg.per_text > j)
         at = seg.column(who, j)
-        entry[at] = state[who]
-        out = np.einsum("nk,nkl->nl", state[who], total[at])
-        size = out.sum(axis=1)
-        state[who] = out / size[:, None]
+        entry[:, at] = state[:, who]
+        out = np.einsum("in,ijn->jn", state[:, who], total[:, :, at])
+        size = out.sum(axis=0)
+        state[:, who] = out / size
         log_p[who] += np.log(size) + scale[at]
     return entry, total, log_p
 
 
+def _emissions(model: Model, seg: Segments, kind) -> list[np.ndarray]:
+    of_state = np.ascontiguousarray(model.emit.T, kind)
+    return [np.take(of_state, seg.grid[t, :m], axis=1) for t, m in enumerate(seg.running)]
+
+
 def log_likelihood(model: Model, symbols: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of each text's symbols (the end symbol last)."""
     if not symbols:
         return np.zeros(0)
-    log_p = _entries(model, Segments(symbols))[2]
+    seg = Segments(symbols)
+    log_p = _entries(model.move, _emissions(model, seg, np.float64), model.start, seg)[2]
     return log_p + np.array([model.log_top[s].sum() for s in symbols])
 
 
 def expected_counts(model: Model, symbols: list[np.ndarray]):
     """Expected starts (K), moves (K, K) and emissions (symbols, K) of the texts, and their log likelihood."""
-    seg, k = Segments(symbols), len(model.start)
-    entry, total, log_p = _entries(model, seg)
-    back = np.empty((seg.n, k))  # backward weights behind each segment
-    weight = np.ones((len(seg.per_text), k))
+    # Single precision is enough for counts; scores are computed in double precision.
+    seg, k, move = Segments(symbols), len(model.start), model.move.astype(np.float32)
+    emit = _emissions(model, seg, np.float32)
+    entry, total, log_p = _entries(move, emit, model.start, seg)
+    back = np.empty((k, seg.n), np.float32)  # backward weights behind each segment
+    weight = np.ones((k, len(seg.per_text)))
     for j in range(int(seg.per_text.max(initial=0)) - 1, -1, -1):
         who = np.flatnonzero(seg.per_text > j)
         at = seg.column(who, j)
-        back[at] = weight[who]
-        w = np.einsum("nkl,nl->nk", total[at], weight[who])
-        weight[who] = w / w.sum(axis=1, keepdims=True)
-    forward = np.empty((SEGMENT, seg.n, k))
-    state = entry.copy()
+        back[:, at] = weight[:, who]
+        w = np.einsum("ijn,jn->in", total[:, :, at], weight[:, who])
+        weight[:, who] = w / w.sum(axis=0)
+    del total
+    forward = []
+    entry = state = entry.astype(np.float32)
+    against = np.ascontiguousarray(move.T)
     for t, m in enumerate(seg.running):
         if not m:
             break
-        moved = state[:m] @ model.move
+        moved = against @ state[:, :m]
         if t == 0:
-            moved[seg.opens] = state[seg.opens]
-        moved *= model.emit[seg.grid[t, :m]]
-        moved /= moved.sum(axis=1, keepdims=True)
-        state[:m] = forward[t, :m] = moved
+            moved[:, seg.opens] = state[:, seg.opens]
+        moved *= emit[t]
+        if t % _RESCALE == _RESCALE - 1:
+            moved /= moved.sum(axis=0)
+        forward.append(moved)
+        state = moved
     gammas, seen = [], []
     moves, starts = np.zeros((k, k)), np.zeros(k)
-    for t in range(SEGMENT - 1, -1, -1):
+    for t in range(len(forward) - 1, -1, -1):
         m = seg.running[t]
-        if not m:
-            continue
-        gamma = forward[t, :m] * back[:m]
-        gamma /= gamma.sum(axis=1, keepdims=True)
+        inner = back[:, :m] * emit[t]
+        step = move @ inner
+        a = forward[t - 1][:, :m] if t else entry[:, :m]
+        gamma = forward[t] * back[:, :m]
+        gamma /= gamma.sum(axis=0)
         gammas.append(gamma)
         seen.append(seg.grid[t, :m])
-        inner = back[:m] * model.emit[seg.grid[t, :m]]
-        step = inner @ model.move.T
-        a = forward[t - 1, :m] if t else entry
-        norm = np.einsum("nk,nk->n", a, step)
+        norm = (a * step).sum(axis=0)
         if t == 0:
-            starts += gamma[seg.opens].sum(axis=0)
+            starts += gamma[:, seg.opens].sum(axis=1)
             norm[seg.opens] = np.inf
-        moves += (a / norm[:, None]).T @ inner
-        back[:m] = step / step.sum(axis=1, keepdims=True)
-    gamma, sym = np.concatenate(gammas), np.concatenate(seen)
-    emissions = np.stack([np.bincount(sym, gamma[:, s], SYMBOLS + 1) for s in range(k)], axis=1)
+        moves += (a / norm) @ inner.T
+        if t % _RESCALE == 0:
+            step /= step.sum(axis=0)
+        back[:, :m] = step
+    gamma, sym = np.concatenate(gammas, axis=1), np.concatenate(seen)
+    emissions = np.stack([np.bincount(sym, g, SYMBOLS + 1) for g in gamma], axis=1)
     return starts, moves * model.move, emissions, float(log_p.sum() + model.log_top[sym].sum())
 
 
 def _texts(codes: bytes, sizes: list[int], symbols: bytes) -> list[np.ndarray]:
-    flat = np.frombuffer(symbols, "<u4").astype(np.int64)[np.frombuffer(codes, "<u4")]
+    flat = np.frombuffer(symbols, "<u2").astype(np.int64)[_unpack(codes)]
     return [np.append(flat[e - n:e], END) for e, n in zip(np.cumsum(sizes), sizes)]
 
 
@@ -326,14 +347,14 @@ def scores(docs: DataFrame, held_out, id: str = "doc_id", text: str = "text", st
     def run(batch: pa.RecordBatch):
         m, symbols_, n, v, ends = shared.value
         for ids, held, lens, codes, of_words, known, c in zip(*(batch.column(k).to_pylist() for k in range(7))):
-            sym = np.frombuffer(of_words, "<u4")
+            sym = np.frombuffer(of_words, "<u2")
             count = np.zeros(len(sym))
             if known:
                 count[known] = c
             inside = np.log10(count + SMOOTHING) - np.log10(symbols_[sym, 0] + SMOOTHING * (symbols_[sym, 1] + 1))
             base = np.log10(count + SMOOTHING)
             like = log_likelihood(m, _texts(codes, lens, of_words)) / np.log(10)
-            flat, size = np.frombuffer(codes, "<u4"), np.array(lens)
+            flat, size = _unpack(codes), np.array(lens)
             at = np.cumsum(size) - size
             add = lambda x: np.array([x[flat[a:a + k]].sum() for a, k in zip(at, size)])
             floor = np.log10(n + SMOOTHING * (v + 1))
