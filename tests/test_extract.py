@@ -150,3 +150,10 @@ def test_script_bodies_are_no_markup(sources):
     parent = {r["entity_id"]: r["tag"] for r in m.collect()}
     assert {(r["tag"], parent.get(r["parent_id"])) for r in m.collect()} == {
         ("html", None), ("head", "html"), ("script", "head"), ("title", "head"), ("body", "html"), ("p", "body")}
+
+
+def test_go_type_block(sources):
+    code = "package p\n\ntype (\n\tA struct {\n\t\tx int\n\t\ty struct {\n\t\t\tz int\n\t\t}\n\t}\n\n\tB interface {\n\t\tRun()\n\t}\n)\n\ntype C struct {\n}\n"
+    n = golang.nodes(golang.decorate(sources(("/a.go", code))))
+    assert rows(n.where("kind in ('GoStruct', 'GoInterface')"), "kind", "name", "start_line", "end_line") == [
+        ("GoInterface", "B", 11, 13), ("GoStruct", "A", 4, 9), ("GoStruct", "C", 16, 17)]
