@@ -25,8 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from strata.llm.common import fresh, map_arrow
-from strata.session import written
+from strata.llm.common import fresh, map_arrow, stored
 
 MIN_WORDS = 8
 MIN_RUN = 25
@@ -104,9 +103,11 @@ def repeated_units(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
               .select(F.col(id).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("t")))
     schema = f"id {kind}, hash bigint, kind int, place int, start int, end int, words int, digest binary"
     # Rows equal in id and text are one document: its units are taken once where they may meet.
-    all_units = written(map_arrow(picked, run, schema, rows=256), "units")
-    counts = all_units.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    several = all_units.join(counts, "digest", "left_semi")
+    all_units = stored(map_arrow(picked, run, schema, rows=256), "units")
+    # Half of a digest tells nearly all single units apart from repeated ones; the whole decides below.
+    half = F.xxhash64("digest")
+    counts = all_units.select(half.alias("half")).groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
+    several = all_units.withColumn("half", half).join(counts, "half", "left_semi").drop("half")
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "hash", "start")
     first = several.groupBy("digest").agg(F.min(rank).alias("first"))
     return (several.join(first, "digest").where(~rank.eqNullSafe(F.col("first")))
