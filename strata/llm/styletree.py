@@ -16,7 +16,9 @@ If a page marks its article (``article`` or ``main``), the text is taken from th
 go from it, no branches. A page that would lose everything keeps what its own markup leaves.
 
 Blocks are the texts between the borders of block elements; ``br`` is white space. Character references
-are decoded. The work is done by joins on (host, path); texts stay where they are until the last join.
+are decoded. The tree is built by aggregations on (host, path); a host's template, which is as long as a page,
+then joins its pages: by a broadcast while all templates together are small, else by host, where Spark
+splits the pages of a host that has very many.
 
 Edge cases: null and empty pages give empty text; null urls and such without a host share one host;
 unclosed and stray tags are closed or skipped; a page cut off anywhere is read to its end; rows equal in
@@ -33,17 +35,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strata.llm.common import ascii_lower, map_arrow
+from strata.llm.common import ascii_lower, map_arrow, stored
 from strata.session import written
 
 BRANCH = 0.2
 DAMPING = 0.9
+BROADCAST_ITEMS = 200_000  # texts (hashes) and paths of all templates
 LEAST_PAGES = 8  # a node on fewer pages is not compared
 
 # Names of elements, and words that class, id and role use for what is not article text.
 BLOCK_TAGS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt
-    fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup
-    option p pre section summary table tbody td tfoot th thead title tr ul""".split())
+    fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol
+    p pre section summary table tbody td tfoot th thead title tr ul""".split())
 EMPTY_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe noembed noframes xmp template".split())
 NOISE_TAGS = frozenset("""aside button canvas dialog footer form head iframe input label legend map menu nav noembed
@@ -57,7 +60,7 @@ NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertisements ad
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 NOT_BEFORE = frozenset("has with no without".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
-             "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
+             "tbody": {"tr", "td", "th", "thead", "tbody"}}
 HOLDERS = frozenset("ul ol menu dl table tbody thead tfoot select div section article main body aside nav td th blockquote".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z))""", re.S)
@@ -173,31 +176,33 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
 
 
 def page_nodes(pages: DataFrame, id: str, url: str, source: str) -> DataFrame:
-    """One row per page: (id, url, key, host, paths, texts, noise, article, nodes, styles); written once."""
+    """One row per page: (id, url, key, host, paths, texts, article, nodes, styles); written once."""
     kind = pages.schema[id].dataType.simpleString()
     after = F.when(F.instr(url, "://") > 0, F.substring_index(F.col(url), "://", -1)).otherwise("")
     host = F.coalesce(ascii_lower(F.regexp_extract(after, r"^[^/?#]*", 0)), F.lit(""))
     picked = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.xxhash64(url, source).alias("key"), host.alias("host"), F.coalesce(F.col(source), F.lit("")).alias("source"))
 
     def run(batch: pa.RecordBatch):
-        names = ("paths", "texts", "noise", "article", "nodes", "styles")
+        names = ("paths", "texts", "article", "nodes", "styles")
         out = {n: [] for n in names}
         for page in batch.column("source").to_pylist():
             blocks, styles = parse(page)
-            for n, x in zip(names, (*([b[k] for b in blocks] for k in range(4)), list(styles), list(styles.values()))):
+            blocks = [b for b in blocks if not b[2]]  # what its own markup excludes is of no importance anywhere
+            for n, x in zip(names, (*([b[k] for b in blocks] for k in (0, 1, 3)), list(styles), list(styles.values()))):
                 out[n].append(x)
         yield {n: batch.column(n) for n in ("id", "url", "key", "host")} | out
-    schema = (f"id {kind}, url string, key bigint, host string, paths array<string>, texts array<string>, noise array<boolean>, "
+    schema = (f"id {kind}, url string, key bigint, host string, paths array<string>, texts array<string>, "
               "article array<boolean>, nodes array<string>, styles array<bigint>")
-    return written(map_arrow(picked, run, schema), "pages")
+    return stored(map_arrow(picked, run, schema), "pages")
 
 
 def _logm(x: Column, m: Column) -> Column:
     return F.when(m > 1, F.log(x) / F.log(m)).otherwise(F.lit(0.0))
 
 
-def style_tree(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts (host, path, text hash) and branches (host, path) of low importance."""
+def template(nodes: DataFrame) -> DataFrame:
+    """(host, low_texts, low_branches): texts at their paths, and branches, of low importance. A text
+    listed is on half of the pages that have its path, so a host's list is no longer than a few pages."""
     leaf = (nodes.select("host", "id", "key", F.explode(F.array_distinct(F.arrays_zip("paths", F.transform("texts", lambda t: F.xxhash64(t)).alias("hashes")))).alias("b"))
             .groupBy("host", F.col("b.paths").alias("path"), F.col("b.hashes").alias("hash")).agg(F.count(F.lit(1)).alias("d")))
     leaf = written(leaf, "leaves")
@@ -219,34 +224,34 @@ def style_tree(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     weight = F.pow(F.lit(DAMPING), F.col("l"))
     composite = (1 - weight) * F.coalesce(spread, F.lit(0.0)) + weight * F.col("content")
     branches = whole.where((F.col("m") >= LEAST_PAGES) & (composite < BRANCH)).select("host", "path")
-    return texts, branches
+    by_text = texts.groupBy("host").agg(F.collect_list(F.struct("path", "hash")).alias("low_texts"))
+    by_branch = branches.groupBy("host").agg(F.collect_list("path").alias("low_branches"))
+    return by_text.join(by_branch, "host", "full")
 
 
 def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """(id, url, text) of every page: its article, blocks joined by empty lines."""
     nodes = page_nodes(pages, id, url, source)
-    texts, branches = style_tree(nodes)
-    each = nodes.select("id", "key", "host", F.posexplode(F.arrays_zip("paths", F.transform("texts", lambda t: F.xxhash64(t)).alias("hashes"))).alias("at", "b"))
-    each = each.select("id", "key", "host", "at", F.col("b.paths").alias("path"), F.col("b.hashes").alias("hash")).distinct()
-    by_text = each.join(texts, ["host", "path", "hash"], "left_semi").select("id", "key", "at", F.lit(False).alias("branch"))
-    parts = F.split("path", "/")
-    ancestors = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    above = each.where(F.size(parts) >= 2).select("id", "key", "host", "at", F.explode(ancestors).alias("path"))
-    by_branch = above.join(branches, ["host", "path"], "left_semi").select("id", "key", "at", F.lit(True).alias("branch")).distinct()
-    low = by_text.unionByName(by_branch).groupBy("id", "key").agg(
-        F.collect_set(F.when(~F.col("branch"), F.col("at"))).alias("low_texts"), F.collect_set(F.when(F.col("branch"), F.col("at"))).alias("low_branches"))
-    low = low.withColumnsRenamed({"id": "_id", "key": "_key"})
+    low = stored(template(nodes), "template")
+    # Pages stay where they are if the templates are small enough to send to all of them.
+    items = low.agg(F.coalesce(F.sum(F.coalesce(F.size("low_texts"), F.lit(0)) + F.coalesce(F.size("low_branches"), F.lit(0))), F.lit(0))).first()[0]
+    low = F.broadcast(low) if items <= BROADCAST_ITEMS else low
     kind = pages.schema[id].dataType.simpleString()
 
     def run(batch: pa.RecordBatch):
-        out = []
-        for texts_, noise, article, a, b in zip(*(batch.column(c).to_pylist() for c in ("texts", "noise", "article", "low_texts", "low_branches"))):
-            own = [k for k in range(len(texts_)) if not noise[k]]
-            marked = [k for k in own if article[k]]
-            kept = marked or own
-            gone = set(a or ()) if marked else {*(a or ()), *(b or ())}
-            out.append("\n\n".join(texts_[k] for k in ([k for k in kept if k not in gone] or kept)))
+        out, known = [], {}
+        for host, paths, texts, hashes, article, low_texts, low_branches in zip(*(batch.column(k).to_pylist() for k in range(2, 9))):
+            if host not in known:  # pages of one host come in a row or not; few hosts are in one slice
+                known[host] = ({(x["path"], x["hash"]) for x in low_texts or ()}, tuple(low_branches or ()))
+            one, above = known[host]
+            marked = [k for k in range(len(texts)) if article[k]]
+            kept = marked or range(len(texts))
+            left = [k for k in kept if (paths[k], hashes[k]) not in one]
+            if not marked and above:
+                left = [k for k in left if not any(f"{paths[k]}/".startswith(f"{b}/") for b in above)]
+            out.append("\n\n".join(texts[k] for k in left or kept))
         yield {"id": batch.column("id"), "url": batch.column("url"), "text": out}
-    joined = nodes.join(low, nodes.id.eqNullSafe(low["_id"]) & (nodes.key == low["_key"]), "left")
-    return map_arrow(joined.select("id", "url", "texts", "noise", "article", "low_texts", "low_branches"), run,
+    joined = nodes.drop("nodes", "styles").join(low, "host", "left")
+    hashed = F.transform("texts", lambda t: F.xxhash64(t)).alias("hashes")
+    return map_arrow(joined.select("id", "url", "host", "paths", "texts", hashed, "article", "low_texts", "low_branches"), run,
                      f"id {kind}, url string, text string", rows=256)
