@@ -12,6 +12,8 @@ in which styles (orders of child elements), and with which contents.
 
 Elements whose markup says that they are not text of the article (menus, forms, adverts, comments and so
 on) count as branches of no importance on every page, since many hosts have too few pages to compare.
+Inside an article, headings and paragraphs never count so by their class or id, and containers whose words an
+article's own sections use too (``related``, ``discussion``) only if half of their text or more is in links.
 If a page marks its article (``article`` or ``main``), the text is taken from there, and only single texts
 go from it, no branches. A page that would lose everything keeps what its own markup leaves.
 
@@ -57,6 +59,11 @@ NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertisements ad
     sidebar sidebars side rail widget widgets related recommended recommendations share sharing social comment comments
     commentlist reply replies respond responses disqus discussion footer masthead topbar toolbar pagination pager skip
     search searchbox copyright legal disclaimer outbrain taboola""".split())
+# Words that an article's own sections use as well: inside an article they count for containers of links only.
+AMBIGUOUS_WORDS = frozenset("""ad ads alert banner comment copyright cookie cookies discussion disclaimer legal notice notices notification popup
+    promotion rail recommendations recommended related replies reply respond responses search share sharing side skip
+    social sponsor sponsored sponsors subscription""".split())
+HEADINGS_AND_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 NOT_BEFORE = frozenset("has with no without".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -85,9 +92,17 @@ def _is_noise(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     parts = [p.lower() for p in _PARTS.findall(f"{attributes.get('class', '')} . {attributes.get('id', '')}")]
     noisy = [p for before, p in zip(["", *parts], parts) if p in NOISE_WORDS and before not in NOT_BEFORE]
+    if in_article and tag in BLOCK_TAGS:
+        return tag not in HEADINGS_AND_TEXT and any(p not in AMBIGUOUS_WORDS for p in noisy)
     return bool(noisy) or tag == "div" and not in_article and "header" in parts
 
 
+def _is_doubtful(tag: str, attributes: dict[str, str]) -> bool:
+    """A container inside an article whose words say noise or a section of the article: its links decide."""
+    parts = [p.lower() for p in _PARTS.findall(f"{attributes.get('class', '')} . {attributes.get('id', '')}")]
+    return tag in BLOCK_TAGS and tag not in HEADINGS_AND_TEXT and any(p in AMBIGUOUS_WORDS and before not in NOT_BEFORE for before, p in zip(["", *parts], parts))
+
+
 def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
     """Blocks of a page as (path, text, noise, in_article) in order, and of each path with children a hash of its
     children's tags in order."""
@@ -96,6 +111,9 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
     # Open elements: tag, path, noise, inside an article.
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
     text: list[str] = []
+    doubts: list[list] = []  # of each doubtful container: depth while open, first and last block, characters, those in links
+    open_doubts: list[int] = []
+    linked = 0  # open links
     muted = 0  # open inline elements of no importance: their text is left out of the block around them
 
     def flush() -> None:
@@ -106,15 +124,22 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
                 blocks.append((stack[-1][1], words, any(s[2] and s[0] in BLOCK_TAGS for s in stack), any(s[3] for s in stack)))
 
     def close(depth: int) -> None:
-        nonlocal muted
+        nonlocal muted, linked
         if any(s[0] in BLOCK_TAGS for s in stack[depth:]):
             flush()
+        linked -= sum(s[0] == "a" for s in stack[depth:])
+        while open_doubts and doubts[open_doubts[-1]][0] >= depth:
+            doubts[open_doubts.pop()][2] = len(blocks)
         muted -= sum(s[2] and s[0] not in BLOCK_TAGS for s in stack[depth:])
         del stack[depth:]
 
     def add(piece: str) -> None:
         if not muted:
             text.append(piece)
+            size = len("".join(piece.split()))
+            for d in open_doubts:
+                doubts[d][3] += size
+                doubts[d][4] += size if linked else 0
 
     at, n = 0, len(page)
     while at < n:
@@ -170,8 +195,15 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
             if noise and name not in BLOCK_TAGS:
                 text.append(" ")
                 muted += 1
+            if in_article and not noise and _is_doubtful(name, attributes):
+                open_doubts.append(len(doubts))
+                doubts.append([len(stack), len(blocks), None, 0, 0])
+            linked += name == "a"
             stack.append((name, path, noise, name in ("article", "main") and not noise))
     flush()
+    for _, first, last, chars, in_links in doubts:
+        if 2 * in_links >= chars:
+            blocks[first:last] = [(path, words, True, inside) for path, words, _, inside in blocks[first:last]]
     return blocks, {p: xxhash.xxh64_intdigest(" ".join(c)) >> 1 for p, c in children.items()}
 
 

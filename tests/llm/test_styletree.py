@@ -49,3 +49,11 @@ def test_parse():
     assert text_of("<p>a</p></div></b>b<!-- <p>c --><style>p{}</style>") == ["a", "b"]
     assert text_of("<main><p>in</main><p>out") == ["in"]
     assert text_of("<div hidden>h</div><div style='display: none'>n</div><div role=navigation>r</div>ok &am") == ["ok &am"]
+
+
+def test_words_of_an_articles_own_sections():
+    """Inside an article a class or id alone drops no heading, paragraph or section; containers of links go."""
+    page = ('<article><h2 id="copyright-law">Law</h2><p class="legal">A</p><section id="discussion"><h2>Talk</h2><p>B <a>c</a> and more.</section>'
+            '<div class="side-by-side"><p>D</div><section class="related-work"><p>E</section><div class="related"><a>x</a><ul><li><a>y</a></ul></div>'
+            '<div class="newsletter">n</div><p>F</article>')
+    assert text_of(page) == ["Law", "A", "Talk", "B c and more.", "D", "E", "F"]
