@@ -129,3 +129,32 @@ def op6_style_tree(spark: SparkSession, sf: str) -> DataFrame:
     from strata.llm.styletree import main_texts
     found = main_texts(table(spark, sf, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+_OP13_SQL = r"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding AS q FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, (k - 1) // (len(q) // 16) AS part, (k - 1) % (len(q) // 16) AS d, floor(256 * q[k]::DOUBLE)::BIGINT AS x
+      FROM v, LATERAL (SELECT unnest(generate_series(1, len(q))) AS k)),
+b0 AS (SELECT part, r - 1 AS entry, d, x AS e FROM p WHERE r <= 64),
+d0 AS (SELECT r, part, entry, sum((x - e) * (x - e))::BIGINT AS far FROM p JOIN b0 USING (part, d) GROUP BY r, part, entry),
+a0 AS (SELECT r, part, min(far * 64 + entry) % 64 AS entry FROM d0 GROUP BY r, part),
+m0 AS (SELECT part, entry, d, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM p JOIN a0 USING (r, part) GROUP BY part, entry, d),
+b1 AS (SELECT part, entry, d, coalesce(m, e) AS e FROM b0 LEFT JOIN m0 USING (part, entry, d)),
+d1 AS (SELECT r, part, entry, sum((x - e) * (x - e))::BIGINT AS far FROM p JOIN b1 USING (part, d) GROUP BY r, part, entry),
+a1 AS (SELECT r, part, min(far * 64 + entry) % 64 AS entry FROM d1 GROUP BY r, part),
+m1 AS (SELECT part, entry, d, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM p JOIN a1 USING (r, part) GROUP BY part, entry, d),
+b2 AS (SELECT part, entry, d, coalesce(m, e) AS e FROM b1 LEFT JOIN m1 USING (part, entry, d)),
+d2 AS (SELECT r, part, entry, sum((x - e) * (x - e))::BIGINT AS far FROM p JOIN b2 USING (part, d) GROUP BY r, part, entry),
+a2 AS (SELECT r, part, min(far * 64 + entry) AS best FROM d2 GROUP BY r, part),
+c AS (SELECT r, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY r),
+h AS (SELECT sha256(string_agg(e::VARCHAR, ',' ORDER BY part, entry, d)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN c USING (r), h"""
+
+
+@query(_OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    from strata.llm.prefixtrie import as_hex, compress, digest
+    coded, books = compress(table(spark, sf, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), as_hex(F.col("code")).alias("code"), "error", "label_error",
+                        F.lit(digest(books)).alias("codebooks_sha256"))
