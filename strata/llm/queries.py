@@ -158,3 +158,24 @@ def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     coded, books = compress(table(spark, sf, "embeddings"))
     return coded.select(F.col("id").alias("vec_id"), as_hex(F.col("code")).alias("code"), "error", "label_error",
                         F.lit(digest(books)).alias("codebooks_sha256"))
+
+
+_OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+q AS (SELECT k, item_id, term, count(*) AS times FROM (SELECT k, item_id, unnest(t) AS term FROM (
+        SELECT row_number() OVER () AS k, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark)) GROUP BY k, item_id, term),
+p AS (SELECT r, doc_id, term, n, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, term, n),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+f AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) AS part FROM p JOIN w USING (term), s),
+e AS (SELECT k, item_id, r, doc_id, sum(times * part)::BIGINT AS score FROM f JOIN q USING (term) GROUP BY k, item_id, r, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM e WHERE score > 0) WHERE rank <= 20"""
+
+
+@query(_OP12_SQL)
+def op12_block_max_maxscore(spark: SparkSession, sf: str) -> DataFrame:
+    from strata.llm.maxscore import build, top_documents
+    postings, shards = build(table(spark, sf, "documents"))
+    found = top_documents(postings, shards, table(spark, sf, "benchmark"))
+    return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").cast("bigint").alias("doc_id"), "score")
