@@ -179,3 +179,12 @@ def op12_block_max_maxscore(spark: SparkSession, sf: str) -> DataFrame:
     postings, shards = build(table(spark, sf, "documents"))
     found = top_documents(postings, shards, table(spark, sf, "benchmark"))
     return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").cast("bigint").alias("doc_id"), "score")
+
+
+@query()
+def op11_suffix_levels(spark: SparkSession, sf: str) -> DataFrame:
+    from strata.llm.suffixes import remove_repeats
+    cut = remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    return cut.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"),
+                      F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
