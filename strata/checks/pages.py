@@ -12,6 +12,7 @@ from strata.plans.extract.common import file_nodes, lines
 from strata.session import scratch
 from strata.sources import corpus, facts, globs
 from strata.sources.bindings import doc_src, load, page_path, page_scripts, page_src
+from strata.sources.files import write_files
 
 _PAGE_FILE = f"'/pages/' || CAST(page_id AS VARCHAR) || {PAGE_PATH}"
 _ATTR = r"""[A-Za-z_:@][\w:.@-]*(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''<>={}]+))?"""
@@ -158,6 +159,24 @@ def scan_corpus_docs(spark, sf):
                         F.length("text").alias("n"), ids.line_count("text").alias("loc"))
 
 
+# Names that Spark's own file sources do not list, and two ordinary ones.
+_NAMES = ["__init__.py", "_app.txt", ".hidden.txt", "_x/a.txt", ".y/b.txt", "pkg.d.ts/c.txt", "plain.txt", "skipped/_d.txt"]
+
+
+@query(f"""
+SELECT doc_id, name, length(coalesce(text, '')) AS n, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS size FROM (
+  SELECT doc_id, text, [{", ".join(f"'{n}'" for n in _NAMES)}][doc_id % {len(_NAMES)} + 1] AS name FROM documents) WHERE name NOT LIKE 'skipped/%'""")
+def scan_hidden_docs(spark, sf):
+    """Every document as a file, most with a name or folder that begins with ``_`` or ``.``."""
+    root = scratch(spark, "hidden")
+    name = F.element_at(F.array(*[F.lit(n) for n in _NAMES]), (F.col("doc_id") % len(_NAMES) + 1).cast("int"))
+    d = load(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("/"), name).alias("path"), "text")
+    write_files(d, root).write.format("noop").mode("overwrite").save()
+    found = corpus.scan_corpus(spark, root, exts=["txt", "py"], ignore=["**/skipped/**"])
+    return found.select(F.regexp_extract("path", r"/doc-(\d+)/", 1).cast("bigint").alias("doc_id"),
+                        F.regexp_extract("path", r"/doc-\d+/(.*)$", 1).alias("name"), F.length("text").alias("n"), "size")
+
+
 _DOCS = """
 WITH d AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"""
 

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from strata.functions.ids import EXTENSIONS, base_name, ext_name, language, norm_path
-from strata.sources.globs import dotted, filter_extensions, filter_ignored, ignore_patterns, ignore_regex
+from strata.sources.files import with_options
+from strata.sources.globs import dotted, ignore_patterns, ignore_regex
 
 
 def as_sources(df: DataFrame) -> DataFrame:
@@ -44,35 +45,35 @@ def scan_roots(spark: SparkSession, root: str, globs, exts=EXTENSIONS) -> list[s
     return sorted(folders) + [files] * has_files
 
 
+def scan_rows(spark: SparkSession, root: str, exts=EXTENSIONS, ignore=(), prune: bool = True, texts: bool = True) -> DataFrame:
+    """(path, size, mtime, text, error) of the files below ``root``; ``error`` says why a file or folder
+    has no text."""
+    wanted = [e.lower() for e in dotted(exts)]
+    return with_options(spark, spark.read, root, wanted, ignore_regex(ignore_patterns(ignore)), prune, texts).load()
+
+
 def scan_corpus(spark: SparkSession, root: str, exts=EXTENSIONS, ignore=(), prune: bool = True,
-                on_error: str = "skip", observation: Observation | None = None) -> DataFrame:
-    """Files below ``root`` as (path, name, extension, language, size, mtime, text).
+                on_error: str = "skip", observation: Observation | None = None, texts: bool = True) -> DataFrame:
+    """Files below ``root`` as (path, name, extension, language, size, mtime, text), whatever their names.
 
-    Extension and ignore filters use file metadata only; ``prune`` leaves ignored trees out of the listing
-    too, with the same rows. Unreadable files are skipped unless ``on_error="fail"``; ``observation``
-    counts what was read. Spark lists no file whose name starts with ``_`` or ``.``."""
-    globs = ignore_patterns(ignore)
-    wanted = [e.lower() for e in dotted(exts)]
-    roots = scan_roots(spark, root, globs if prune else (), wanted)
-    glob = "*{" + ",".join(sorted({_any_case(x) for x in wanted})) + "}"
-    skip = "true" if on_error == "skip" else "false"
-    reader = (spark.read.format("text").option("wholetext", True)
-              .option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-              .option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip))
-    if not roots:
-        schema = "path string, name string, extension string, language string, size bigint, mtime timestamp, text string"
-        return spark.createDataFrame([], schema)
-    raw = reader.load(roots)
-    located = raw.select(
-        F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))),
-                         "^[a-z0-9]+:/*(?=/)", "").alias("path"),
-        F.col("value").alias("text"),
-        F.col("_metadata.file_size").alias("size"),
-        F.col("_metadata.file_modification_time").alias("mtime"))
-    files = filter_ignored(filter_extensions(as_sources(located), wanted), globs)
+    Extension and ignore filters look at names before anything is opened; ``prune`` leaves ignored trees out of the
+    listing too, with the same rows. Unreadable files and folders are skipped unless ``on_error="fail"``;
+    ``observation`` counts files, bytes and errors, and ``scan_errors`` lists the latter. Without ``texts``
+    no file is opened."""
+    files = as_sources(scan_rows(spark, root, exts, ignore, prune, texts))
+    good = F.col("error").isNull()
     if observation is not None:
-        files = files.observe(observation, F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
-    return files.select("path", "name", "extension", "language", "size", "mtime", "text")
+        files = files.observe(observation, F.count_if(good).alias("files"), F.sum(F.when(good, F.col("size"))).alias("bytes"),
+                              F.count("error").alias("errors"))
+    if on_error != "skip":
+        good = F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("cannot read "), "path", F.lit(": "), "error")).cast("boolean"))
+    kept = files.where(good)
+    return kept.select("path", "name", "extension", "language", "size", "mtime", "text")
+
+
+def scan_errors(spark: SparkSession, root: str, exts=EXTENSIONS, ignore=(), prune: bool = True) -> DataFrame:
+    """(path, error) of what a scan cannot list or read."""
+    return scan_rows(spark, root, exts, ignore, prune).where("error is not null").select("path", "error")
 
 
 def spread(sources: DataFrame, parts: int) -> DataFrame:

@@ -10,19 +10,18 @@ from pyspark.sql.streaming import StreamingQuery
 from strata.functions.ids import EXTENSIONS
 from strata.operators.dedup import dedup_last
 from strata.sources.corpus import as_sources
-from strata.sources.globs import filter_extensions, filter_ignored, ignore_patterns
+from strata.sources.files import with_options
+from strata.sources.globs import dotted, ignore_patterns, ignore_regex
 from strata.sources.store import GraphStore
 
 
-def watch_files(spark: SparkSession, root: str, exts=EXTENSIONS, ignore=(), max_files: int | None = None) -> DataFrame:
-    """New source files below ``root`` as a stream of sources."""
-    reader = (spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True))
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    raw = reader.load(root).select(
-        F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/*(?=/)", "").alias("path"),
-        F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("mtime"))
-    return filter_ignored(filter_extensions(as_sources(raw), exts), ignore_patterns(ignore))
+def watch_files(spark: SparkSession, root: str, exts=EXTENSIONS, ignore=(), rewrites: bool = False, settle_ms: int = 0) -> DataFrame:
+    """New source files below ``root`` as a stream of sources, whatever their names; with ``rewrites`` also those
+    written again. Without, the paths seen are kept as state."""
+    stream = with_options(spark, spark.readStream, root, [e.lower() for e in dotted(exts)], ignore_regex(ignore_patterns(ignore)),
+                          settleMs=settle_ms).load()
+    good = as_sources(stream.where("error is null").select("path", "text", "mtime"))
+    return good if rewrites else good.dropDuplicates(["path"])
 
 
 def manifest(sources: DataFrame) -> DataFrame:

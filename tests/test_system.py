@@ -8,8 +8,8 @@ from pyspark.sql import Observation, functions as F
 from conftest import rows
 from strata.plans.analyze import AnalyzeConfig, analyze, analyze_directory
 from strata.plans.graph import schema, unresolved
-from strata.sources import facts, globs
-from strata.sources.corpus import scan_corpus, scan_roots, spread
+from strata.sources import facts, files, globs
+from strata.sources.corpus import scan_corpus, scan_errors, scan_roots, spread
 from strata.sources.store import GraphStore, check_graph, lookup
 from strata.streaming import watch
 
@@ -68,6 +68,67 @@ def test_unreadable_files_are_skipped(spark, corpus):
     assert df.count() == 5
 
 
+def test_names_that_spark_hides_are_scanned_and_watched(spark, tmp_path):
+    root = tmp_path / "root"
+    for name in ("pkg/__init__.py", "_x/a.py", ".y/b.py", "web.d.ts/_app.tsx", ".py", "__pycache__/c.py", "big/a.py", "big/b.py", "note.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name * 3)
+    (root / "link.py").symlink_to(root / "big/a.py")
+    want = [".y/b.py", "_x/a.py", "big/a.py", "big/b.py", "pkg/__init__.py", "web.d.ts/_app.tsx"]
+    got = rows(scan_corpus(spark, str(root)), "path", "text", "size")
+    assert [(p.replace(f"{root}/", ""), t, n) for p, t, n in got] == [(w, w * 3, len(w) * 3) for w in want]
+    names = scan_corpus(spark, f"file://{root}", texts=False)
+    assert [r[0].replace(f"{root}/", "") for r in rows(names, "path")] == want and names.where("text is not null").count() == 0
+    out, offsets = str(tmp_path / "out"), str(tmp_path / "offsets")
+
+    def run(**how):
+        q = (watch.watch_files(spark, str(root), **how).select("path").writeStream.format("parquet").option("path", out + str(how))
+             .option("checkpointLocation", offsets + str(how)).trigger(availableNow=True).start())
+        q.awaitTermination()
+        return spark.read.parquet(out + str(how)).count()
+    assert run() == run(rewrites=True) == 6
+    (root / "_x/a.py").write_text("again")
+    (root / "_x/_z.py").write_text("new")
+    assert run() == 7 and run(rewrites=True) == 8
+
+
+def test_slices_of_a_folder_cover_it_once(tmp_path, monkeypatch):
+    for i in range(50):
+        (tmp_path / f"{i}.py").write_text("x" * i)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/s.py").write_text("s")
+    monkeypatch.setattr(files, "SLICE_FILES", 8)
+    monkeypatch.setattr(files, "BATCH_BYTES", 100)
+    folder = files.Folder({"path": str(tmp_path), "extensions": '[".py"]'})
+    parts = folder.slices()
+    assert len(parts) == 8 and {p.n for p in parts} == {1, 7}
+    batches = [b for p in parts for b in folder.read(p)]
+    assert sorted(x for b in batches for x in b.column("size").to_pylist()) == sorted([*range(50), 1]) and len(batches) > len(parts)
+
+
+def test_what_cannot_be_read_is_a_row(spark, tmp_path, monkeypatch):
+    lost = rows(scan_errors(spark, str(tmp_path / "none")), "path", "error")
+    assert len(lost) == 1 and lost[0][0] == str(tmp_path / "none") and "FileNotFound" in lost[0][1]
+    with pytest.raises(Exception, match="cannot read"):
+        scan_corpus(spark, str(tmp_path / "none"), on_error="fail").collect()
+    seen = Observation("errors")
+    assert scan_corpus(spark, str(tmp_path / "none"), observation=seen).count() == 0 and seen.get["errors"] == 1
+    (tmp_path / "a.py").write_text("a")
+    (tmp_path / "b.py").write_text("b")
+    folder = files.Folder({"path": str(tmp_path), "extensions": '[".py"]'})
+
+    class Broken:
+        def open_input_stream(self, path):
+            if path.endswith("a.py"):
+                raise PermissionError("no")
+            return real.open_input_stream(path)
+    part, real = folder.slices()[0], folder.fs
+    monkeypatch.setattr(folder, "list", lambda f, listed=folder.list(str(tmp_path)): listed)
+    folder.fs = Broken()
+    batch, = folder.read(part)
+    assert batch.column("text").to_pylist() == [None, "b"] and batch.column("error").to_pylist() == ["PermissionError: no", None]
+
+
 def test_analysis_is_closed_unique_and_repeatable(spark, corpus, tmp_path):
     store = GraphStore(spark, str(tmp_path / "graph"))
     assert store.version() == 0 and store.read()[0].count() == 0
