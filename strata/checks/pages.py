@@ -17,6 +17,7 @@ from strata.sources.files import write_files
 _PAGE_FILE = f"'/pages/' || CAST(page_id AS VARCHAR) || {PAGE_PATH}"
 _ATTR = r"""[A-Za-z_:@][\w:.@-]*(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''<>={}]+))?"""
 _TAG = rf"<[A-Za-z][\w.:-]*(?:\s+{_ATTR})*\s*/?>"
+_ANY = rf"(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>|<title>.*?</title>|{_TAG}|</[A-Za-z][\w.:-]*\s*>"
 _TAGS_SQL = rf"""
 SELECT page_id, path, generate_subscripts(t, 1) AS nth, unnest(t) AS tok FROM (
   SELECT page_id, {_PAGE_FILE} AS path, regexp_extract_all(html, '{_TAG}') AS t FROM pages)"""
@@ -84,9 +85,34 @@ def class_tokens(spark, sf):
     return first.select("entity_id", F.col("class").alias("name"), F.col("path").alias("file_path"))
 
 
-@query()
+# Tags of a page with their places. Scripts, styles and titles are one token, as they hold no elements.
+_PLACED_SQL = rf"""
+SELECT page_id, path, i, tok, name, tok LIKE '</%' AS closes, line, col FROM (
+  SELECT *, 1 + length(before) - length(replace(before, chr(10), '')) AS line, length(regexp_extract(before, '[^\n]*$')) AS col FROM (
+    SELECT *, lower(regexp_extract(tok, '^</?([\w.:-]+)', 1)) AS name,
+           substr(html, 1, CAST(sum(length(gap)) OVER w + sum(length(tok)) OVER w - length(tok) AS BIGINT)) AS before FROM (
+      SELECT page_id, html, path, generate_subscripts(t, 1) AS i, unnest(t) AS tok, unnest(g[:len(t)]) AS gap FROM (
+        SELECT page_id, html, {_PAGE_FILE} AS path, regexp_extract_all(html, '{_ANY}') AS t, regexp_split_to_array(html, '{_ANY}') AS g FROM pages))
+    WINDOW w AS (PARTITION BY page_id ORDER BY i)) WHERE tok NOT LIKE '<!--%')"""
+# An element ends at the closing tag of its name at which as many are closed as were opened since; a paragraph and what is
+# in it (only b and a are) end at the next tag that is none of text.
+_NESTING_SQL = rf"""
+WITH t AS ({_PLACED_SQL}),
+n AS (SELECT *, sum(CASE WHEN closes THEN -1 ELSE 1 END) OVER (PARTITION BY page_id, name ORDER BY i) AS depth FROM t),
+o AS (SELECT * FROM n WHERE NOT closes AND name NOT IN ('meta', 'br', 'script', 'style', 'title')),
+e AS (SELECT o.page_id, o.i, o.name, coalesce(min(c.i), 1e9) AS stop FROM o
+      LEFT JOIN n c ON c.page_id = o.page_id AND c.i > o.i AND (
+        CASE WHEN o.name IN ('p', 'b') THEN c.name NOT IN ('a', 'b', 'br') OR (c.closes AND c.name = o.name)
+             ELSE c.closes AND c.name = o.name AND c.depth = o.depth - 1 END)
+      GROUP BY o.page_id, o.i, o.name),
+f AS (SELECT x.page_id, x.i, max(e.i) AS parent FROM t x LEFT JOIN e ON e.page_id = x.page_id AND e.i < x.i AND x.i < e.stop WHERE NOT x.closes GROUP BY x.page_id, x.i),
+d AS (SELECT page_id, path, i, {eid("'JSXElement'", "path || ':' || regexp_extract(tok, '^<([^ />]+)', 1) || ':' || CAST(line AS VARCHAR) || ':' || CAST(col AS VARCHAR)")} AS entity_id FROM t)
+SELECT d.path, d.entity_id, p.entity_id AS parent_id FROM f JOIN d USING (page_id, i) LEFT JOIN d p ON p.page_id = f.page_id AND p.i = f.parent"""
+
+
+@query(_NESTING_SQL)
 def markup_nesting(spark, sf):
-    """Nesting of page elements, as far as their tags close."""
+    """Every page element with the innermost one open at its tag; many paragraphs are never closed."""
     return markup.elements(page_src(spark, sf)).select("path", "entity_id", "parent_id")
 
 

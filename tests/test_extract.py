@@ -144,6 +144,24 @@ def test_brackets_to_depth_fifty(sources):
     assert rows(m, "tag") == [("Foo",)]
 
 
+def test_nesting_goes_by_names():
+    def tree(html, text):
+        found = [("close" if t.startswith("/") else "single" if t in markup.VOID or t.endswith("/") else "open", t.strip("/")) for t in text.split()]
+        parents, ends = markup.match(found, html)
+        return ([(n, found[p][1] if p >= 0 else None) for (f, n), p in zip(found, parents) if f != "close"], ends)
+    got, ends = tree(True, "html body p b br p /article footer /footer /body /html")
+    assert got == [("html", None), ("body", "html"), ("p", "body"), ("b", "p"), ("br", "b"), ("p", "body"), ("footer", "body")]
+    assert ends[2] == (5, False) and ends[3] == (5, False) and ends[5] == (7, False) and ends[7] == (8, True) and ends[0] == (10, True)
+    assert tree(True, "ul li ul li /ul li /ul p")[0] == [("ul", None), ("li", "ul"), ("ul", "li"), ("li", "ul"), ("li", "ul"), ("p", None)]
+    assert tree(True, "p table tr td p td /p tr th /table div")[0] == [
+        ("p", None), ("table", None), ("tr", "table"), ("td", "tr"), ("p", "td"), ("td", "tr"), ("tr", "table"), ("th", "tr"), ("div", None)]
+    assert tree(True, "div table td /div p /table em /div")[0] == [("div", None), ("table", "div"), ("td", "table"), ("p", "td"), ("em", "div")]
+    assert tree(False, "A B p p C/ /B D /A /A E") [0] == [("A", None), ("B", "A"), ("p", "B"), ("p", "p"), ("C", "p"), ("D", "A"), ("E", None)]
+    deep = [("open", "div")] * 50_000 + [("close", "p")] * 50_000 + [("close", "div")] * 50_000
+    parents, ends = markup.match(deep, True)
+    assert parents[49_999] == 49_998 and ends[0] == (149_999, True)
+
+
 def test_script_bodies_are_no_markup(sources):
     page = "<html><head><script>var t = \"</p></html>\"; if (a<b) {}</script><title>a <b> c</title></head><body><p>x</p></body></html>"
     m = markup.elements(sources(("/a.html", page)).withColumn("language", F.lit("HTML")))
