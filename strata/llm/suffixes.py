@@ -16,12 +16,11 @@ only as often as the index doubles.
 
 Borders. Where all runs of a suffix are alike, all their windows are repeated. Else runs that are alike are
 repeated, and the others are compared at their borders: their bytes are fetched, cut into pieces of
-``PIECE`` windows, and only the pieces that neither repeat nor stand alone are compared window by window. Every step counts
-digests by aggregation; members of a group never meet each other, whatever the group's size.
+``PIECE`` windows, and only pieces that do not repeat, but of which the bytes common to all their windows do, are compared window by
+window. Every step counts digests by aggregation; members of a group never meet each other, whatever the group's size.
 
 Scale. Documents are read once for the samples, joined once with the places of border runs and once with
-the spans to remove (Spark broadcasts those while its own estimate is small). All else is a few
-hundredths of the text. Key equality is on 128 bits throughout.
+the spans to remove. All else is a few hundredths of the text. Key equality is on 128 bits throughout.
 
 Edge cases: null counts as empty; texts under ``length`` bytes keep everything; rows equal in id and text are
 documents of their own and repeat each other; texts of any size are sampled in chunks; null ids
@@ -137,7 +136,7 @@ class Levels:
         """Add a batch (head, h, s); returns (head, h, lo, hi) of its suffixes that occur twice in it or in it and
         a level. ``lo`` and ``hi`` differ if runs do."""
         entries = suffixes.groupBy("head", "h").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count(F.lit(1)).alias("n"))
-        name, weight = self._write(entries.repartition(self.buckets, "head", "h")), 1
+        name, weight = self._write(entries), 1
         new = self.spark.table(name)
         met = [new.where("n > 1").select("head", "h", "lo", "hi")]
         for _, level in self.levels:
@@ -193,37 +192,45 @@ def _border_runs(docs: DataFrame, wanted: DataFrame, id: str, text: str, length:
     lists = wanted.groupBy("id", "hash").agg(F.sort_array(F.collect_set("k")).alias("ks")).withColumnsRenamed({"id": "id_", "hash": "hash_"})
     lists = stored(lists, "wanted")
     own = docs.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), utf8(text).alias("t"))
-    joined = own.join(lists, F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_"))).drop("id_", "hash_")
+    joined = own.join(lists.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("id_")) & (F.col("hash") == F.col("hash_"))).drop("id_", "hash_")
     schema = f"id {kind}, hash bigint, h bigint, s bigint, place bigint, first bigint, data binary"
     return stored(map_arrow(joined, run, schema, rows=128), "borders")
 
 
+def _long(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _cut(place: int, first: int, count: int) -> list[tuple[int, int, int]]:
+    """(t, a, b): the windows a to b of a run whose distance from the place is t times PIECE or little more."""
+    t = (place - first - np.arange(count)) // PIECE
+    starts = np.flatnonzero(np.diff(t, prepend=t[0] + 1))
+    return list(zip(t[starts].tolist(), (first + starts).tolist(), (first + np.append(starts[1:], count) - 1).tolist()))
+
+
 def _pieces(runs: DataFrame, length: int, kind: str) -> DataFrame:
-    """(h, t, d, id, hash, h, s, a, b, own) of all pieces of the runs: windows a to b, whose offsets before the place
-    begin with the same multiple of PIECE."""
+    """(h, t, core, d, id, hash, s, a, b, own) of all pieces of the runs: windows a to b with the digest of their bytes, and that of
+    the bytes that every window has whose distance from the place gives the same t."""
     def run(batch: pa.RecordBatch):
-        out: dict[str, list] = {k: [] for k in ("id", "hash", "h", "s", "t", "d", "a", "b", "own")}
+        out: dict[str, list] = {k: [] for k in ("id", "hash", "h", "s", "t", "core", "d", "a", "b", "own")}
         for i, digest, h, s, place, first, data, own in zip(*(batch.column(c).to_pylist() for c in ("id", "hash", "h", "s", "place", "first", "data", "own"))):
-            windows = np.arange(len(data) - length + 1) + first
-            t = (place - windows) // PIECE
-            starts = np.flatnonzero(np.diff(t, prepend=t[0] + 1))
-            for a, b in zip(starts.tolist(), np.append(starts[1:], len(t)).tolist()):
-                d = xxhash.xxh3_64_intdigest(data[a:b - 1 + length])
-                for c, v in zip(out, (i, digest, h, s, int(t[a]), d - (1 << 64) if d >= 1 << 63 else d, first + a, first + b - 1, own)):
+            for t, a, b in _cut(place, first, len(data) - length + 1):
+                core = data[place - t * PIECE - first:place - (t + 1) * PIECE + 1 + length - first]
+                values = (i, digest, h, s, t, _long(xxhash.xxh3_64_intdigest(core)), _long(xxhash.xxh3_64_intdigest(data[a - first:b + length - first])), a, b, own)
+                for c, v in zip(out, values):
                     out[c].append(v)
         yield out
-    return map_arrow(runs, run, f"id {kind}, hash bigint, h bigint, s bigint, t bigint, d bigint, a bigint, b bigint, own boolean", rows=512)
+    return map_arrow(runs, run, f"id {kind}, hash bigint, h bigint, s bigint, t bigint, core bigint, d bigint, a bigint, b bigint, own boolean", rows=512)
 
 
 def _windows(runs: DataFrame, length: int, kind: str) -> DataFrame:
-    """(w, h, s, id, hash, a, own) of each window of the pieces listed in ``spans``."""
+    """(w, h, s, id, hash, a, own) of each window of the pieces listed in ``ts``."""
     def run(batch: pa.RecordBatch):
         out: dict[str, list] = {k: [] for k in ("id", "hash", "h", "s", "w", "a", "own")}
-        for i, digest, h, s, first, data, own, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "hash", "h", "s", "first", "data", "own", "spans"))):
-            for span in spans:
-                for at in range(span["a"], span["b"] + 1):
-                    w = xxhash.xxh3_64_intdigest(data[at - first:at - first + length])
-                    for c, v in zip(out, (i, digest, h, s, w - (1 << 64) if w >= 1 << 63 else w, at, own)):
+        for i, digest, h, s, place, first, data, own, ts in zip(*(batch.column(c).to_pylist() for c in ("id", "hash", "h", "s", "place", "first", "data", "own", "ts"))):
+            for t, a, b in _cut(place, first, len(data) - length + 1):
+                for at in range(a, b + 1) if t in ts else ():
+                    for c, v in zip(out, (i, digest, h, s, _long(xxhash.xxh3_64_intdigest(data[at - first:at - first + length])), at, own)):
                         out[c].append(v)
         yield out
     return map_arrow(runs, run, f"id {kind}, hash bigint, h bigint, s bigint, w bigint, a bigint, own boolean", rows=512)
@@ -242,26 +249,27 @@ def repeated_windows(docs: DataFrame, id: str = "doc_id", text: str = "text", le
     for m in met[1:]:
         twice = twice.unionByName(m)
     twice = twice.groupBy("head", "h").agg((F.min("lo") < F.max("hi")).alias("mixed"))
-    hits = stored(_exploded(lists, "row").join(stored(twice, "twice"), ["head", "h"]), "hits")
+    hits = stored(_exploded(lists, "row").join(stored(twice, "twice").hint("merge"), ["head", "h"]), "hits")
     # Runs of mixed suffixes: alike ones are repeated, the others need a look at their borders.
     of_run = hits.where("mixed").groupBy("h", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "k")).alias("at"))
     of_run = stored(of_run, "runs")
     sure = hits.where("not mixed").select("row", "k").unionByName(
-        hits.where("mixed").join(of_run.where("n > 1").select("h", "s"), ["h", "s"], "left_semi").select("row", "k"))
+        hits.where("mixed").join(of_run.where("n > 1").select("h", "s").hint("merge"), ["h", "s"], "left_semi").select("row", "k"))
     of_row = lists.select("row", "id", "hash")
     wanted = of_run.select("h", "s", "at.row", "at.k", (F.col("n") == 1).alias("own"))
     runs = _border_runs(docs, wanted.join(of_row, "row").select("id", "hash", "k"), id, text, length, gram)
     runs = stored(runs.dropDuplicates(["h", "s"]).join(of_run.select("h", "s", (F.col("n") == 1).alias("own")), ["h", "s"]), "borders")
     pieces = stored(_pieces(runs, length, kind), "pieces")
     # Pieces are of different runs, so two alike are two occurrences.
-    counted = pieces.groupBy("h", "t", "d").agg(F.count(F.lit(1)).alias("n"))
+    counted = pieces.groupBy("h", "t", "core", "d").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("s"))
     counted = stored(counted, "piece_counts")
-    alike = pieces.where("own").join(counted.where("n > 1"), ["h", "t", "d"], "left_semi").select("id", "hash", "a", "b")
-    unsettled = counted.groupBy("h", "t").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h", "t")
-    opened = pieces.join(unsettled, ["h", "t"], "left_semi").groupBy("h", "s").agg(F.collect_list(F.struct("a", "b", "d")).alias("spans"))
-    windows = stored(_windows(runs.join(opened, ["h", "s"]), length, kind), "windows")
+    alike = pieces.where("own").join(counted.where("n > 1").select("h", "t", "core", "d").hint("merge"), ["h", "t", "core", "d"], "left_semi").select("id", "hash", "a", "b")
+    # A window can be repeated only where its core is; one piece of each digest stands for all alike.
+    shared = counted.groupBy("h", "t", "core").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("h", "t", "core")
+    opened = counted.join(shared.hint("merge"), ["h", "t", "core"], "left_semi").groupBy("h", "s").agg(F.collect_set("t").alias("ts"))
+    windows = stored(_windows(runs.join(opened.hint("merge"), ["h", "s"]), length, kind), "windows")
     again = windows.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "w")
-    single = windows.where("own").join(again, ["h", "w"], "left_semi").select("id", "hash", "a", F.col("a").alias("b"))
+    single = windows.where("own").join(again.hint("merge"), ["h", "w"], "left_semi").select("id", "hash", "a", F.col("a").alias("b"))
     borders = alike.unionByName(single).groupBy("id", "hash").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans"))
     whole = sure.groupBy("row").agg(F.sort_array(F.collect_set("k")).alias("ks")).join(of_row, "row").groupBy("id", "hash").agg(F.first("ks").alias("ks"))
     borders = borders.withColumnsRenamed({"id": "id_", "hash": "hash_"})
@@ -288,7 +296,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     key, hash_, ks, spans, data = fresh(own, "_id", "_hash", "_ks", "_spans", "_data")
     found = found.select(F.col("id").alias(key), F.col("hash").alias(hash_), F.col("ks").alias(ks), F.col("spans").alias(spans))
     text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    both = own.join(found, own[id].eqNullSafe(F.col(key)) & (text_hash == F.col(hash_)), "left").withColumn(data, utf8(text))
+    both = own.join(found.hint("shuffle_hash"), own[id].eqNullSafe(F.col(key)) & (text_hash == F.col(hash_)), "left").withColumn(data, utf8(text))
     names = own.columns
 
     def run(batch: pa.RecordBatch):
