@@ -122,13 +122,65 @@ def ts_parameters(spark, sf):
 
 
 @query(facts(_S, "entity_id, name, type, modifiers, is_constant, is_exported",
-             f"'variable:' || {_SP} || ':rate' || k || ':4', 'rate' || k, 'number', 'export,let', false, true"))
+             f"'variable:' || {_SP} || ':rate' || k || ':4', 'rate' || k, 'number', 'export,let', false, true",
+             f"'variable:' || {_SP} || ':spare:4', 'spare', 'any', 'export,let', false, true"))
 def ts_variables(spark, sf):
     """Variables of a module; those inside functions are none."""
     n = typescript.nodes(_ts(spark, sf)).where("kind = 'Variable'")
     return n.select("entity_id", "name", "type", F.array_join("modifiers", ",").alias("modifiers"), "is_constant", "is_exported")
 
 
+_C = "(SELECT CAST(c_custkey AS VARCHAR) AS k, CAST(c_nationkey AS VARCHAR) AS n FROM customer)"
+_CP = "'/shop/note/c' || k || '.ts'"
+_PICK, _TEXT = f"'function:' || {_CP} || ':pick' || k || ':3'", f"'function:' || {_CP} || ':text' || k || ':6'"
+
+
+def _note_parts(spark, sf):
+    """(constructs, declared names, imported names) of the notes."""
+    src = b.note_src(spark, sf)
+    d = written(typescript.decorate(typescript.tokens(src)), "notes")
+    imports = resolve.resolve_imports(typescript.import_rows(d), src.select("path"))
+    return d, resolve.declared(typescript.nodes(d), typescript.export_rows(d)), resolve.imported_names(imports)
+
+
+def _declared(name: str, line: int, type_: str, modifiers: str) -> str:
+    flags = ", ".join(str(w in modifiers).lower() for w in ("const", "export"))
+    return f"'variable:' || {_CP} || ':{name}' || k || ':{line}', '{name}' || k, '{type_}', '{modifiers}', {flags}"
+
+
+@query(facts(_C, "entity_id, name, type, modifiers, is_constant, is_exported",
+             _declared("quote", 2, "any", "const"), _declared("half", 2, "any", "const"), _declared("names", 2, "Map<string, number>", "const"),
+             _declared("last", 3, "[string, number]", "const"), _declared("open", 4, "(a: number, b: string) => void", "export,let"),
+             _declared("shut", 4, "any", "export,let"), _declared("one", 5, "any", "var"), _declared("two", 5, "any", "var")))
+def ts_declarators(spark, sf):
+    """Every declarator of a statement, function values and loop headers aside."""
+    n = typescript.nodes(_note_parts(spark, sf)[0]).where("kind = 'Variable'")
+    return n.select("entity_id", "name", "type", F.array_join("modifiers", ",").alias("modifiers"), "is_constant", "is_exported")
+
+
+@query(facts(_C, "source_id, target_id, line, is_conditional, is_awaited, weight",
+             f"{_TEXT}, {_AREA_OF}, 7, 'false', 'false', 6", f"{_TEXT}, {_PICK}, 7, 'true', 'false', 7",
+             f"{_TEXT}, 'unresolved:line.split', 10, 'false', 'false', 7", f"{_TEXT}, 'unresolved:note' || k, 10, 'false', 'false', 7",
+             f"{_PICK}, 'unresolved:keen' || k, 3, 'false', 'false', 7"))
+def ts_nested_calls(spark, sf):
+    """Calls in templates to any depth, beside regular expressions and divisions."""
+    d, decls, names = _note_parts(spark, sf)
+    e = resolve.resolve_calls(typescript.call_sites(d), decls, names)
+    p = lambda k: F.element_at("properties", k)
+    return e.select("source_id", "target_id", p("callSiteLine").cast("int").alias("line"), p("isConditional").alias("is_conditional"),
+                    p("isAwaited").alias("is_awaited"), "weight")
+
+
+@query(facts(_C, "source_id, target_id, line, is_placeholder",
+             f"{_TEXT}, 'variable:' || {_CP} || ':open' || k || ':4', 8, 'false'", f"{_TEXT}, 'variable:' || {_CP} || ':shut' || k || ':4', 9, 'false'"))
+def ts_nested_mutations(spark, sf):
+    """Assignments beside divisions and templates; declarators assign nothing."""
+    d, decls, names = _note_parts(spark, sf)
+    e = resolve.resolve_mutations(typescript.assignments(d), decls, names)
+    p = lambda k: F.element_at("properties", k)
+    return e.select("source_id", "target_id", p("startLine").cast("int").alias("line"), p("isPlaceholder").alias("is_placeholder"))
+
+
 @query(facts(_S, "entity_id, module, named, def, space, type_only",
              f"'import:' || {_SP} || ':../nation/n' || n || ':1', '../nation/n' || n, 'Nation' || n || ',area' || n, NULL, NULL, 'false'",
              f"'import:' || {_SP} || ':../nation/n' || n || '.js:2', '../nation/n' || n || '.js', NULL, 'home', 'world', 'false'",
@@ -525,7 +577,7 @@ def python_facts_sql(spark, sf):
 
 _COUNTS = {
     "File": "s + n + r + 2 * c + g + 2 * p + h", "Function": "3 * s + n + c + g", "Import": "3 * s + c", "Class": "s + n",
-    "Interface": "n + r", "TypeAlias": "n", "Variable": "s", "Method": "2 * s + 2 * n + r", "Parameter": "9 * s + 2 * n + c + g",
+    "Interface": "n + r", "TypeAlias": "n", "Variable": "2 * s", "Method": "2 * s + 2 * n + r", "Parameter": "9 * s + 2 * n + c + g",
     "Component": "c + g", "JSXElement": "2 * c + g", "JSXAttribute": "5 * c + g", "TailwindClass": "cn + 2",
     "IncludeDirective": "2 * p", "MacroDefinition": "p + h", "CppClass": "p", "CppMethod": "3 * p", "CFunction": "p + h",
     "PythonClass": "c", "PythonMethod": "2 * c", "PythonFunction": "c", "PythonVariable": "4 * c", "PythonParameter": "6 * c",

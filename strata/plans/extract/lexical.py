@@ -16,6 +16,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from strata.plans.extract import tslex
+
 # Pieces of C-like text: comments, strings, and what lies between them.
 _C_PIECES = (
     r"(?s)/\*.*?(?:\*/|\z)|//[^\n]*+"
@@ -35,8 +37,10 @@ def _blank(piece: Column) -> Column:
 
 def blank(text, style: str = "c", keep_docs: bool = False) -> Column:
     """Text of the same length and lines with comments emptied and string bodies made inert.
-    ``keep_docs`` leaves ``/** … */`` blocks."""
+    ``keep_docs`` leaves ``/** … */`` blocks; style ``ts`` is that of ``tslex``."""
     text = F.col(text) if isinstance(text, str) else text
+    if style == "ts":
+        return tslex.blank(text, keep_docs)
     pieces = F.regexp_extract_all(text, F.lit(_SQL_PIECES if style == "sql" else _C_PIECES), F.lit(0))
     line_comment = "--" if style == "sql" else "//"
 

@@ -8,8 +8,9 @@ from strata.functions.ids import TS_FAMILY, entity_id
 from strata.functions.text import callback_name, doc_description, doc_tags, doc_text, name_or, type_or_any, visibility
 from strata.model import edges_like, nodes_like
 from strata.plans.extract.common import (
-    strip, ARGS, GENERIC, edge, explode_edges, file_id, group, keyword, path_id, props, split_args)
-from strata.plans.extract.lexical import Grammar, scan
+    strip, ARGS, BRACES, GENERIC, edge, explode_edges, file_id, group, keyword, nested, path_id, props, split_args)
+from strata.plans.extract.lexical import Grammar, newlines, scan, tail
+from strata.plans.extract.tslex import DECLARATORS, MARKS
 
 _NAME = r"[A-Za-z_$][\w$]*"
 _RET = r"(?:\s*:\s*[\w$.<>\[\]|&, \t'\"?]+?)?"
@@ -17,6 +18,10 @@ _EXPORT = rf"(?:{keyword('export')}\s+)?(?:\bdefault\s+)?(?:\bdeclare\s+)?"
 _FROM = r"""\s*from\s*(?:'[^'\n]*'|"[^"\n]*")"""
 _ARROW_ARGS = rf"(?:\basync\s+)?(?:{GENERIC}{ARGS}{_RET}|{_NAME})\s*=>\s*\{{?"
 _FUNC_EXPR = rf"(?:\basync\s+)?\bfunction\b\s*\*?\s*(?:{_NAME})?\s*{GENERIC}{ARGS}{_RET}\s*\{{"
+# A declared name, after its keyword or after the mark of a further declarator.
+_DECL = rf"(?:{_EXPORT}{keyword(['const', 'let', 'var'])}\s+|[{MARKS}]\s*)"
+_TYPE_PARTS = "|".join([nested("<", ">", "(){};"), ARGS, BRACES, nested(r"\[", r"\]"), "=>"])
+_DECL_TYPE = rf"(?::(?:[^=;,<>(){{}}\[\]{MARKS}]|{_TYPE_PARTS})+?)?"
 _NOT_WORDS = r"(?!(?:if|for|while|switch|catch|function|return|new|typeof|await|do|else|case|import|super)\b)"
 _MEMBER_MODS = r"(?:\b(?:public|private|protected|static|async|readonly|override|abstract|get|set)\s+)*"
 
@@ -30,8 +35,8 @@ TOKENS = [
     ("alias", rf"{_EXPORT}{keyword('type')}\s+{_NAME}\s*{GENERIC}\s*=", r"(?![=>])"),
     ("function", rf"{_EXPORT}(?:\basync\s+)?{keyword('function')}\s*\*?\s*(?:{_NAME})?\s*{GENERIC}{ARGS}{_RET}\s*\{{"),
     ("skip", rf"{_EXPORT}(?:\basync\s+)?{keyword('function')}\s+{_NAME}\s*{GENERIC}{ARGS}"),
-    ("arrow", rf"{_EXPORT}{keyword(['const', 'let', 'var'])}\s+{_NAME}\s*(?::[^=;]+?)?=\s*(?:{_ARROW_ARGS}|{_FUNC_EXPR})"),
-    ("variable", rf"{_EXPORT}{keyword(['const', 'let', 'var'])}\s+{_NAME}\s*(?::[^=;]+?)?(?:\s*=)?", r"(?=\s*(?:;|,|\n|\bof\b|\bin\b)|(?<==)(?![=>]))"),
+    ("arrow", rf"{_DECL}{_NAME}\s*{_DECL_TYPE}=\s*(?:{_ARROW_ARGS}|{_FUNC_EXPR})"),
+    ("variable", rf"{_DECL}{_NAME}\s*{_DECL_TYPE}(?:\s*=)?", rf"(?=\s*(?:;|,|[{MARKS}]|\n|\bof\b|\bin\b)|(?<==)(?![=>]))"),
     ("export_default", rf"{keyword('export')}\s+default\s+{_NAME}", r"(?=\s*;|\s*\n|\s*\z)"),
     ("catch", rf"{keyword('catch')}\s*(?:\([^()]*\))?\s*\{{"),
     ("callback", rf"(?<![\w$.]){_NOT_WORDS}{_NAME}(?:\s*\??\.\s*{_NAME})*\s*\([^(){{}};=]*?(?:{_ARROW_ARGS}|{_FUNC_EXPR})"),
@@ -55,16 +60,16 @@ GRAMMAR = Grammar(
     tokens=TOKENS,
     decls=["class", "interface", "function", "arrow", "callback", "lambda", "method"],
     owners=["class", "interface", "function", "arrow", "method"],
-    marks=["doc", "operator", "ternary"], either=["lambda", "method"], mark_chars=r"/&|?(<*#{};",
+    marks=["doc", "operator", "ternary"], either=["lambda", "method", "arrow", "variable"], mark_chars=rf"/&|?(<*#{{}};{MARKS}",
     conditional=["branch", "other_branch", "ternary"],
     decisions=["branch", "case", "catch", "operator", "ternary"],
-    keep_docs=True, semicolon_for=True)
+    style="ts", keep_docs=True, semicolon_for=True)
 
 _FUNCTIONS = ["function", "arrow", "callback", "lambda"]
 _TOP_NAMES = {
     "class": rf"\bclass\s+(?!extends\b)({_NAME})", "interface": rf"\binterface\s+({_NAME})",
     "alias": rf"\btype\s+({_NAME})", "function": rf"\bfunction\b\s*\*?\s*({_NAME})",
-    "arrow": rf"\b(?:const|let|var)\s+({_NAME})", "variable": rf"\b(?:const|let|var)\s+({_NAME})",
+    "arrow": rf"(?:\b(?:const|let|var)\s+|^[{MARKS}]\s*)({_NAME})", "variable": rf"(?:\b(?:const|let|var)\s+|^[{MARKS}]\s*)({_NAME})",
 }
 _METHOD_NAME = rf"([#\w$]+)\s*\??\s*{GENERIC}\("
 _CALLEE = rf"({_NAME}(?:\s*\??\.\s*{_NAME})*)\s*(?:\?\.)?{GENERIC}\("
@@ -102,6 +107,11 @@ def _args(cls: Column, tok: Column) -> Column:
 
 def decorate(toks: DataFrame) -> DataFrame:
     """Names, kinds and ids of declarations; NULL kind for tokens that declare nothing."""
+    # A further declarator begins at its name, not at the mark before it.
+    lead = F.regexp_extract("tok", rf"^[{MARKS}]\s*", 0)
+    toks = toks.withColumns({
+        "col": F.when(newlines(lead) > 0, tail(lead)).otherwise(F.col("col") + F.length(lead)).cast("int"),
+        "line": (F.col("line") + newlines(lead)).cast("int")})
     cls, tok = F.col("cls"), F.col("tok")
     callee = group("tok", _CALLEE)
     in_type = F.col("direct") & F.col("owner_cls").isin("class", "interface")
@@ -111,10 +121,11 @@ def decorate(toks: DataFrame) -> DataFrame:
         ((cls == "method") & (F.col("owner_cls") == "class") & (member != "constructor") & ~accessor)
         | ((cls == "abstract_method") & (F.col("owner_cls") == "class"))
         | ((F.col("owner_cls") == "interface") & cls.isin("call", "method", "signature")))
+    in_header = F.coalesce(F.col("prev_tok").rlike(r"^(?:for|await\s*\()$"), F.lit(False))  # of a loop
     top_level = F.col("owner_cls").isNull() & (F.col("level") == 0)
     kind = (F.when(cls == "import", "Import").when(cls == "class", "Class").when(cls == "interface", "Interface")
             .when(cls == "alias", "TypeAlias").when(cls.isin(_FUNCTIONS), "Function")
-            .when(is_method, "Method").when((cls == "variable") & top_level, "Variable"))
+            .when(is_method, "Method").when((cls == "variable") & top_level & ~in_header, "Variable"))
     module = F.regexp_extract(tok, r"""['"]([^'"]*)['"]$""", 1)
     arg_no = F.length(F.regexp_replace(F.regexp_extract(
         tok, rf"^[^(]*\(([^(){{}};=]*?)(?:{_ARROW_ARGS}|{_FUNC_EXPR})$", 1), "[^,]", ""))
@@ -137,6 +148,8 @@ def decorate(toks: DataFrame) -> DataFrame:
     owner_id = F.when(F.col("owner_cls") == "class", path_id("class", F.col("owner_name"))) \
         .when(F.col("owner_cls") == "interface", path_id("interface", F.col("owner_name")))
     head = F.regexp_extract(tok, r"^([^({=<]*)", 1)
+    for words, mark in DECLARATORS.items():
+        head = F.when(tok.startswith(mark), F.lit(words)).otherwise(head)
     return out.withColumns({
         "entity_id": eid, "owner_id": owner_id,
         "head": head, "args": F.when(F.col("kind").isin("Function", "Method"), _args(cls, tok)),
@@ -201,7 +214,7 @@ def nodes(decls: DataFrame) -> DataFrame:
         F.col("col").alias("start_col"),
         F.when(body_end, F.col("end_col")).otherwise(F.col("stop_col")).alias("end_col"),
         (F.when(body_end, F.col("end_line")).otherwise(F.col("stop_line")) - F.col("line") + 1).alias("loc"),
-        F.when(F.col("kind") == "Variable", type_or_any(group("tok", r":\s*([^=;]+?)\s*=?$"))).alias("type"),
+        F.when(F.col("kind") == "Variable", type_or_any(group("tok", r"(?s)^[^:]*:\s*(.+?)\s*=?$"))).alias("type"),
         F.when(F.col("kind").isin("Function", "Method"),
                type_or_any(strip(F.regexp_extract("tok", r"\)\s*:\s*([^(){}]+?)\s*(?:=>\s*)?\{?$", 1)))).alias("return_type"),
         F.when(F.col("kind").isin("Function", "Method"), F.col("complexity")).alias("complexity"),

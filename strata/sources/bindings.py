@@ -185,6 +185,20 @@ export default area{k};
 """
 _TS_REGION = """export interface Region{k} {{ size(): number; }}
 """
+# Forms whose reading depends on what stands before them: declarators, regular expressions, templates.
+_TS_NOTE = """import {{ area{n} as area }} from '../nation/n{n}';
+const quote{k} = /['"`({{]/g, half{k} = {n} / 2 / 1, names{k}: Map<string, number> = new Map<string, number>(),
+  pick{k} = (a, b) => {{ keen{k}(a, b); }}, last{k}: [string, number] = ["x, y", {n}];
+export let open{k}: (a: number, b: string) => void, shut{k};
+var one{k} = `const no = 1, not = 2`, two{k} = {{ a: 1, b: 2 }}
+function text{k}(qty: number) {{
+  const line = `to ${{area(qty)}} of ${{qty > 1 ? `x ${{pick{k}(qty, 1)}} }}{{` : "z"}}`, spare = 1;
+  if (/[)'"]/.test(line)) {{ open{k} = qty / half{k} / 2; }}
+  shut{k} = `${{`${{line}}`}}`;
+  return line.split(/[,;'"]/).map(trim{k}) || note{k}(line / 2 / qty);
+}}
+for (let i = 0, j = 1; i < j; i++) {{ text{k}(`${{i}}`); }}
+"""
 _TSX_CUSTOMER = """import {{ {seg} }} from './seg/{lower}';
 export const Customer{k} = (props: Props): JSX.Element => {{
   return (
@@ -335,6 +349,14 @@ def ts_src(spark: SparkSession, sf: str) -> DataFrame:
         _render(r.where("r_regionkey = 0"), F.lit("/shop/region/index.ts"), fill(_TS_REGION, k="r_regionkey")))
 
 
+def note_src(spark: SparkSession, sf: str) -> DataFrame:
+    """A TypeScript file per customer in which quotes, slashes, commas and braces mean several things, and the nations."""
+    c, n = load(spark, sf, "customer", 0), load(spark, sf, "nation", 0)
+    return union_facts(
+        _render(c, fill("/shop/note/c{k}.ts", k="c_custkey"), fill(_TS_NOTE, k="c_custkey", n="c_nationkey")),
+        _render(n, fill("/shop/nation/n{k}.ts", k="n_nationkey"), fill(_TS_NATION, k="n_nationkey", r="n_regionkey")))
+
+
 def tsx_src(spark: SparkSession, sf: str) -> DataFrame:
     """A component file per customer, using the component of its market segment."""
     c = load(spark, sf, "customer", 0).withColumn("seg", F.initcap("c_mktsegment"))
