@@ -54,36 +54,52 @@ def terms(data: bytes) -> list[bytes]:
     return _TERM.findall(data.lower())
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Non-negative numbers with as many bytes each as the largest needs; the first byte says how many."""
-    top = int(numbers.max()) if len(numbers) else 0
-    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
-    return bytes([width]) + numbers.astype(f"<u{width}").tobytes()
-
-
 def unpack(data: memoryview, at: int, count: int) -> tuple[np.ndarray, int]:
     width = data[at]
     end = at + 1 + width * count
     return np.frombuffer(data[at + 1:end], f"<u{width}").astype(np.int64), end
 
 
-def blocks_of(places: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> dict:
-    """The columns of a term's row from its documents (places, ascending), frequencies and lengths."""
-    last, size, impacts, n_impacts, data = [], [], [], [], []
-    for at in range(0, len(places), BLOCK):
-        p, f, n = places[at:at + BLOCK], tf[at:at + BLOCK], lengths[at:at + BLOCK]
-        body = pack(np.diff(p, prepend=places[at - 1] if at else -1) - 1) + pack(f)
-        best, pairs = None, 0
-        for i in np.lexsort((n, -f)).tolist():  # highest frequency first, then the shortest
-            if best is None or n[i] < best:
-                best = n[i]
-                impacts += [int(f[i]), int(best)]
-                pairs += 1
-        last.append(int(p[-1]))
-        size.append(len(body))
-        n_impacts.append(pairs)
-        data.append(body)
-    return {"last": last, "size": size, "impacts": impacts, "n_impacts": n_impacts, "data": b"".join(data)}
+def _packed(numbers: np.ndarray, width: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+    """Write each number to its place in ``out`` with its own count of bytes, lowest first."""
+    for byte in range(4):
+        there = np.flatnonzero(width > byte)
+        out[at[there] + byte] = numbers[there] >> 8 * byte & 255
+
+
+def term_rows(term: np.ndarray, place: np.ndarray, tf: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """(terms, columns): the index rows of a shard's postings in order of (term, place). All terms are cut into blocks
+    and packed at once. A block is a byte with the width of its gaps, the gaps, a byte with the width of its frequencies and these."""
+    n = len(term)
+    of_term = np.diff(term, prepend=-1) != 0
+    start = np.flatnonzero(of_term)
+    nth = np.arange(n) - start[np.cumsum(of_term) - 1]
+    first = np.flatnonzero(nth % BLOCK == 0)  # of each block
+    count = np.diff(np.append(first, n))
+    block = np.repeat(np.arange(len(first)), count)
+    gap = place - np.where(of_term, -1, np.append(-1, place[:-1])) - 1
+    gaps, tfs = (np.array([1, 2, 4])[np.searchsorted([1 << 8, 1 << 16], np.maximum.reduceat(x, first), "right")] for x in (gap, tf))
+    size = 2 + count * (gaps + tfs)
+    begin = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    middle = begin + 1 + count * gaps
+    out[begin], out[middle] = gaps, tfs
+    within = np.arange(n) - first[block]
+    _packed(gap, gaps[block], begin[block] + 1 + within * gaps[block], out)
+    _packed(tf, tfs[block], middle[block] + 1 + within * tfs[block], out)
+    # Impacts: by falling frequency, then rising length, those shorter than all before them in the block.
+    order = np.lexsort((length, -tf, block))
+    falling = length[order] - (block[order] << 32)  # lower in every later block, so one running minimum serves all
+    keep = order[falling < np.append(np.iinfo(np.int64).max, np.minimum.accumulate(falling)[:-1])]
+    n_impacts = np.bincount(block[keep], minlength=len(first))
+    pairs = np.stack([tf[keep], length[keep]], axis=1).ravel()
+    bounds = np.append(np.searchsorted(first, start), len(first))  # blocks of each term
+    offsets = lambda per_block: np.append(0, np.cumsum(per_block))[bounds].astype(np.int32)
+    listed = lambda values, kind, at=bounds.astype(np.int32): pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
+    data = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets(size).tobytes()), pa.py_buffer(out.tobytes())])
+    return term[start], {"df": pa.array(np.diff(np.append(start, n)), pa.int32()), "last": listed(place[first + count - 1], pa.int32()),
+                         "size": listed(size, pa.int32()), "impacts": listed(pairs, pa.int64(), offsets(2 * n_impacts)),
+                         "n_impacts": listed(n_impacts, pa.int32()), "data": data}
 
 
 class _Shard:
@@ -100,25 +116,15 @@ class _Shard:
         self.tokens.append(np.fromiter((known.setdefault(t, len(known)) for t in found), np.int64, len(found)))
         self.n_terms += len(found)
 
-    def rows(self):
-        """Dicts of the term rows' columns, a thousand terms each."""
+    def rows(self) -> dict[str, pa.Array]:
+        """The columns of the term rows."""
         lengths = np.array(self.lengths, np.int64)
         key = np.concatenate(self.tokens) << 32 | np.repeat(np.arange(len(lengths)), lengths)
         key, tf = np.unique(key, return_counts=True)
-        term, place = key >> 32, key & 0xFFFFFFFF
-        starts = np.flatnonzero(np.diff(term, prepend=-1))
-        ends = np.append(starts[1:], len(term))
-        names = list(self.vocabulary)
-        out: dict[str, list] = {}
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            row = {"shard": self.name, "term": names[term[a]], "df": b - a} | blocks_of(place[a:b], tf[a:b], lengths[place[a:b]])
-            for k, v in row.items():
-                out.setdefault(k, []).append(v)
-            if len(out["term"]) == 1000:
-                yield out
-                out = {}
-        if out:
-            yield out
+        place = key & 0xFFFFFFFF
+        numbers, columns = term_rows(key >> 32, place, tf, lengths[place])
+        names = pa.array(list(self.vocabulary), pa.binary()).take(pa.array(numbers))
+        return {"shard": pa.array([self.name] * len(names)), "term": names} | columns
 
 
 def build(docs: DataFrame, id: str = "doc_id", text: str = "text", shard_docs: int = SHARD_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -130,14 +136,15 @@ def build(docs: DataFrame, id: str = "doc_id", text: str = "text", shard_docs: i
     arrow = to_arrow_schema(schema)
 
     def batch(columns: dict, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None] * n), f.type) for f in arrow], schema=arrow)
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in arrow], schema=arrow)
 
     def run(batches):
         import uuid  # a name per shard, new if a task is run again
 
         def close(shard):
-            for rows in shard.rows():
-                yield batch(rows, len(rows["term"]))
+            rows = shard.rows()
+            whole = batch(rows, len(rows["term"]))
+            yield from (whole.slice(k, 10_000) for k in range(0, len(rows["term"]), 10_000))
             yield batch({"shard": [shard.name], "ids": [shard.ids], "lengths": [shard.lengths]}, 1)
         shard = _Shard(uuid.uuid4().hex)
         for b in batches:

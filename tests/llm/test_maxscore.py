@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 from helpers import docs
-from strata.llm.maxscore import _List, blocks_of, build, pack, search_shard, terms, top_documents, unpack
+from strata.llm.maxscore import BLOCK, _List, build, search_shard, term_rows, terms, top_documents
 
 
 def brute(texts, items, k):
@@ -58,8 +58,8 @@ def test_blocks_stay_packed():
     for t, share in enumerate([0.004, 0.01, 0.4, 0.6, 0.9]):
         place = np.flatnonzero(rng.random(n) < share)
         tf = rng.geometric(0.5, len(place))
-        row = blocks_of(place, tf, lengths[place]) | {"df": len(place)}
-        lists[t] = _List(row, weights[t], norm)
+        _, columns = term_rows(np.full(len(place), t), place, tf, lengths[place])
+        lists[t] = _List({k: c[0].as_py() for k, c in columns.items()}, weights[t], norm)
         dense[t, place] = weights[t] * ((10**9 * tf) // (1000 * tf + 12 * norm(lengths[place])))
         for x in lists.values():
             x.unpacked = 0
@@ -72,6 +72,19 @@ def test_blocks_stay_packed():
 
 
 def test_packing():
-    for numbers in ([], [0], [255, 3], [256], [70000, 1]):
-        data = pack(np.array(numbers, np.int64))
-        assert unpack(memoryview(data), 0, len(numbers))[0].tolist() == numbers
+    """Gaps and frequencies of every width come back, and impacts are those that no other of the block beats."""
+    rng = np.random.default_rng(8)
+    postings = []
+    for t, (n, step, top) in enumerate([(1, 5, 2), (64, 3, 4), (65, 300, 4), (200, 70_000, 300), (130, 2, 70_000)]):
+        place = np.cumsum(rng.integers(1, step + 1, n)) - 1
+        postings += [(t, p, f, l) for p, f, l in zip(place, rng.integers(1, top, n), rng.integers(1, 50, n))]
+    term, place, tf, length = np.array(postings).T
+    numbers, columns = term_rows(term, place, tf, length)
+    assert numbers.tolist() == [0, 1, 2, 3, 4]
+    for t in range(5):
+        own = term == t
+        x = _List({k: c[t].as_py() for k, c in columns.items()}, 1, lambda m: m)
+        blocks = [x.block(k) for k in range(len(x.last))]
+        assert np.concatenate([b[0] for b in blocks]).tolist() == place[own].tolist() and np.concatenate([b[1] for b in blocks]).tolist() == tf[own].tolist()
+        best = [int(x.score(f, l).max()) for f, l in ((tf[own][k:k + BLOCK], length[own][k:k + BLOCK]) for k in range(0, own.sum(), BLOCK))]
+        assert x.block_max.tolist() == best
