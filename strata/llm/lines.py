@@ -94,20 +94,24 @@ def repeated_units(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
     """(id, hash, kind, place, start, end, words, first_id) of every unit that is not the first of its digest."""
     kind = docs.schema[id].dataType.simpleString()
 
+    parts = ("kind", "place", "start", "end", "words", "digest")
+
     def run(batch: pa.RecordBatch):
-        ids, hashes, texts = (batch.column(i).to_pylist() for i in range(3))
-        names = ("id", "hash", "kind", "place", "start", "end", "words", "digest")
-        rows = [(i, h, *u) for i, h, t in zip(ids, hashes, texts) for u in units(t, min_words)]
-        yield dict(zip(names, map(list, zip(*rows)))) if rows else {n: [] for n in names}
+        ids, hashes, texts = (batch.column(i) for i in range(3))
+        found = [units(t, min_words) for t in texts.to_pylist()]
+        yield {"id": ids, "hash": hashes} | {name: [[u[k] for u in us] for us in found] for k, name in enumerate(parts)}
     picked = (docs.where(F.col(text).isNotNull())
               .select(F.col(id).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("t")))
-    schema = f"id {kind}, hash bigint, kind int, place int, start int, end int, words int, digest binary"
-    # Rows equal in id and text are one document: its units are taken once where they may meet.
-    all_units = stored(map_arrow(picked, run, schema, rows=256), "units")
+    schema = f"id {kind}, hash bigint, kind array<int>, place array<int>, start array<int>, end array<int>, words array<int>, digest array<binary>"
+    # One row per document; only half digests travel to find the units that occur again.
+    all_units = stored(map_arrow(picked, run, schema, rows=256).withColumn("row", F.monotonically_increasing_id()), "units")
+    halves = all_units.select("row", F.posexplode(F.transform("digest", lambda d: F.xxhash64(d))).alias("k", "half"))
     # Half of a digest tells nearly all single units apart from repeated ones; the whole decides below.
-    half = F.xxhash64("digest")
-    counts = all_units.select(half.alias("half")).groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    several = all_units.withColumn("half", half).join(counts, "half", "left_semi").drop("half")
+    counts = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
+    again = halves.join(counts.hint("merge"), "half", "left_semi").groupBy("row").agg(F.collect_list("k").alias("ks"))
+    # Rows equal in id and text are one document: its units are taken once where they may meet.
+    at = all_units.join(again.hint("merge"), "row").select("id", "hash", F.explode("ks").alias("k"), *parts)
+    several = at.select("id", "hash", *[F.col(c)[F.col("k")].alias(c) for c in parts])
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "hash", "start")
     first = several.groupBy("digest").agg(F.min(rank).alias("first"))
     return (several.join(first, "digest").where(~rank.eqNullSafe(F.col("first")))
