@@ -561,6 +561,32 @@ def sql_references(spark, sf):
     return e.select("type", "source_id", "target_id", F.element_at("properties", "isPlaceholder").alias("is_placeholder"))
 
 
+_PRICE, _FILL, _LOG = "'sqlfunction:shop.price' || k", "'sqlprocedure:shop.fill' || k", "'sqlprocedure:shop.log' || k"
+_STOCK, _RP = "'sqltable:shop.stock' || k", "'/sql/r' || k || '.sql'"
+_SELECT, _BASE = f"'sqlselectstatement:' || {_RP} || ':18:0'", "'sqlfunction:shop.base' || size"
+
+
+@query(facts(_P, "kind, entity_id, name, start_line, end_line",
+             f"'SQLFunction', {_PRICE}, 'price' || k, 2, 9", f"'SQLProcedure', {_FILL}, 'fill' || k, 10, 16", f"'SQLProcedure', {_LOG}, 'log' || k, 17, 17")
+       + f"\nUNION ALL SELECT DISTINCT 'SQLFunction', {_BASE}, 'base' || size, 1, 1 FROM {_P}")
+def sql_routines(spark, sf):
+    """Functions and procedures whose bodies hold semicolons, quotes and nested blocks."""
+    n = sql.nodes(sql.decorate(b.routine_src(spark, sf))).where("kind in ('SQLFunction', 'SQLProcedure')")
+    return n.select("kind", "entity_id", "name", "start_line", "end_line")
+
+
+@query(facts(_P, "type, source_id, target_id, is_placeholder",
+             f"'CALLS_FUNCTION', {_PRICE}, {_BASE}, 'false'", f"'REFERENCES_TABLE', {_PRICE}, {_STOCK}, 'false'",
+             f"'CALLS_FUNCTION', {_FILL}, {_PRICE}, 'false'", f"'CALLS_PROCEDURE', {_FILL}, {_LOG}, 'false'", f"'REFERENCES_TABLE', {_FILL}, {_STOCK}, 'false'",
+             f"'CALLS_PROCEDURE', {_LOG}, {_FILL}, 'false'", f"'REFERENCES_TABLE', {_LOG}, {_STOCK}, 'false'",
+             f"'CALLS_FUNCTION', {_SELECT}, {_PRICE}, 'false'", f"'REFERENCES_TABLE', {_SELECT}, {_STOCK}, 'false'"))
+def sql_calls(spark, sf):
+    """Calls of functions and procedures by routines and statements, and the tables that they use."""
+    d = written(sql.decorate(b.routine_src(spark, sf)), "routines")
+    e = resolve.sql_references(sql.reference_rows(d), sql.nodes(d))
+    return e.select("type", "source_id", "target_id", F.element_at("properties", "isPlaceholder").alias("is_placeholder"))
+
+
 @query(facts(_C, "path, what, name, line", f"{_YP}, 'import', 'os', 1", f"{_YP}, 'import', 'sys', 1", f"{_YP}, 'from', 'shop.' || seg, 2",
              f"{_YP}, 'assign', 'LIMIT' || k, 3", f"{_YP}, 'class', 'Customer' || k, 5", f"{_YP}, 'assign', 'kind', 6",
              f"{_YP}, 'function', '__init__', 8", f"{_YP}, 'parameter', 'self', 8", f"{_YP}, 'parameter', 'name', 8",

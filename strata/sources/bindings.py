@@ -333,6 +333,28 @@ DELETE FROM shop.part{k};
 """
 
 
+_SQL_ROUTINES = """CREATE TABLE shop.stock{k} (id INT, n INT);
+CREATE OR REPLACE FUNCTION shop.price{k}(p INT, q DECIMAL(10, 2)) RETURNS INT AS $body$
+DECLARE total INT; -- from nowhere;
+BEGIN
+  SELECT sum(n) INTO total FROM shop.stock{k} WHERE label <> 'a;b from fake';
+  IF total > {size} THEN RETURN CASE WHEN total > 1 THEN shop.base{half}(1) END; END IF;
+  RETURN total;
+END;
+$body$ LANGUAGE plpgsql;
+CREATE PROCEDURE shop.fill{k}(IN x INT)
+BEGIN
+  DECLARE i INT;
+  WHILE i < x DO SET i = i + 1; END WHILE;
+  BEGIN INSERT INTO shop.stock{k} VALUES (x, shop.price{k}(x, 1)); END;
+  CALL shop.log{k}(x);
+END;
+CREATE PROCEDURE shop.log{k}(x INT) AS BEGIN DELETE FROM shop.stock{k}; EXEC shop.fill{k} 1; END;
+SELECT shop.price{k}(1, 2), lower('x') FROM shop.stock{k};
+CALL shop.fill{k}(3);
+"""
+
+
 def _render(df: DataFrame, path: Column, text: Column) -> DataFrame:
     """One source per row."""
     return as_sources(df.select(path.alias("path"), text.alias("text")))
@@ -398,3 +420,12 @@ def py_src(spark: SparkSession, sf: str) -> DataFrame:
 
 def sql_src(spark: SparkSession, sf: str) -> DataFrame:
     return _render(load(spark, sf, "part", 0), fill("/sql/p{k}.sql", k="p_partkey"), fill(_SQL_PART, k="p_partkey", size="p_size"))
+
+
+def routine_src(spark: SparkSession, sf: str) -> DataFrame:
+    """A file with routines per part, and one per size with the function that they share."""
+    p = load(spark, sf, "part", 0)
+    sizes = p.select("p_size").distinct()
+    return union_facts(
+        _render(p, fill("/sql/r{k}.sql", k="p_partkey"), fill(_SQL_ROUTINES, k="p_partkey", size="p_size", half="p_size")),
+        _render(sizes, fill("/sql/base{k}.sql", k="p_size"), fill("CREATE FUNCTION shop.base{k}(a INT) RETURNS INT RETURN a + {k};\n", k="p_size")))
