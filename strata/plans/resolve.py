@@ -27,6 +27,12 @@ def import_keys(files: DataFrame, exts=EXTENSIONS) -> DataFrame:
     its path without extension, and as ``index`` to its folder; the extension order decides
     between files with one key. Three keys per file take the place of two dozen guesses per
     import."""
+    rows = answers(files, exts).where("rank is not null")
+    return best_by_rank(rows, ["key"], ["rank", "target_path"], ["target_path"])
+
+
+def answers(files: DataFrame, exts=EXTENSIONS) -> DataFrame:
+    """(target_path, key, rank): every key that a file answers to."""
     exts = list(exts)
     rank = F.array_position(F.array(*[F.lit(e) for e in exts]), ext_name("path"))
     stem = F.regexp_replace("path", r"\.[^./]*$", "")
@@ -36,8 +42,7 @@ def import_keys(files: DataFrame, exts=EXTENSIONS) -> DataFrame:
         cand(F.col("path"), F.lit(0).cast("bigint")),
         cand(F.when(ext_name(stem) == "", stem), rank),
         cand(F.when(stem.endswith("/index"), dir_name(stem)), rank + len(exts)))).alias("c"))
-    rows = rows.select(F.col("path").alias("target_path"), "c.*").where("key is not null and rank is not null and key <> ''")
-    return best_by_rank(rows, ["key"], ["rank", "target_path"], ["target_path"])
+    return rows.select(F.col("path").alias("target_path"), "c.*").where("key is not null and key <> ''")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, exts=EXTENSIONS, limit: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from strata.functions.ids import EXTENSIONS, base_name, ext_name, language, norm_path
-from strata.sources.files import with_options
+from strata.sources.files import read_files, with_options  # noqa: F401
 from strata.sources.globs import dotted, ignore_patterns, ignore_regex
 
 

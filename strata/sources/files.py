@@ -241,3 +241,26 @@ def write_files(df, root: str, path: str = "path", text: str = "text"):
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
     return df.select(path, text).mapInArrow(run, "path string, bytes bigint")
+
+
+def read_files(paths, root: str):
+    """(path, text, size, mtime) of the listed files below ``root``; those that are gone or cannot be read are left out."""
+    def run(batches):
+        place = Folder({"path": root})
+        for batch in batches:
+            rows, held = [], 0
+            for path in batch.column(0).to_pylist():
+                own = path if isinstance(place.fs, pyarrow.fs.LocalFileSystem) or place.root.startswith("/") else path.lstrip("/")
+                try:
+                    info = place.fs.get_file_info(own)
+                    with place.fs.open_input_stream(own) as s:
+                        rows.append((path, info.size, info.mtime, s.read().decode("utf-8", "replace"), None))
+                except OSError:
+                    continue
+                held += info.size
+                if held > BATCH_BYTES:
+                    yield _batch(rows).drop_columns(["error"])
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows).drop_columns(["error"])
+    return paths.select("path").mapInArrow(run, "path string, size bigint, mtime timestamp, text string")
