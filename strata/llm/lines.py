@@ -91,7 +91,8 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def repeated_units(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, hash, kind, place, start, end, words, first_id) of every unit that is not the first of its digest."""
+    """(id, hash, kind, place, start, end, words, first_id) of every unit that is not the first of its digest; rows of
+    repeated documents are repeated."""
     kind = docs.schema[id].dataType.simpleString()
 
     parts = ("kind", "place", "start", "end", "words", "digest")
@@ -115,14 +116,14 @@ def repeated_units(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "hash", "start")
     first = several.groupBy("digest").agg(F.min(rank).alias("first"))
     return (several.join(first, "digest").where(~rank.eqNullSafe(F.col("first")))
-            .select("id", "hash", "kind", "place", "start", "end", "words", F.col("first.id").alias("first_id")).distinct())
+            .select("id", "hash", "kind", "place", "start", "end", "words", F.col("first.id").alias("first_id")))
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS,
                    min_run: int = MIN_RUN) -> DataFrame:
     """``docs`` with the repeated passages cut from ``text``, and ``removed``: array of (start, end)."""
     gone = (repeated_units(docs, id, text, min_words).groupBy("id", "hash")
-            .agg(F.collect_list(F.struct("kind", "place", "start", "end", "words")).alias("found")))
+            .agg(F.collect_set(F.struct("kind", "place", "start", "end", "words")).alias("found")))
     key, hash_, found = fresh(docs, "_id", "_hash", "_found")
     gone = gone.select(F.col("id").alias(key), F.col("hash").alias(hash_), F.col("found").alias(found))
     own = docs.drop("removed")
