@@ -2,20 +2,28 @@
 
 A page's elements are merged with those of all pages of the same host: elements with equal paths (tags
 with their classes and ids from the root) become one node. A node knows on how many pages it occurs,
-in which styles (orders of child elements), and with which contents.
+in which styles (orders of child elements), and with which contents. All blocks enter the tree, those that
+their markup excludes as well.
 
-* Content importance of a text at a node that ``m`` pages have, found on ``d`` of them: 1 - log d / log m,
-  one minus its entropy over the pages: 1 if a single page has it, 0 if all do.
+* Content importance of a text at a node that ``m`` pages have, found on ``d`` of them:
+  1 - log d / log (m + PRIOR), one minus its entropy over the pages, as if ``PRIOR`` more pages had been seen
+  without it: on a small site a repeated text proves little, and the proof grows with the site without a step.
+  It is multiplied by the share of pages on which markup does not exclude the node.
 * Style importance of a node: the entropy of its styles over its pages, to the base ``m``.
 * A branch weighs both: (1 - g^l) * style + g^l * mean content importance below it, with ``l`` styles and
-  g = 0.9. Branches under ``BRANCH`` are template, and so are texts that half of a node's pages share.
+  g = 0.9. Branches under ``LOW`` are template, unless a node below is important in itself (over ``HIGH``), and so
+  are texts under ``LOW`` that the majority of a node's pages (and of the ``PRIOR``) share.
+
+Near copies of an article are no template: pages of a host whose longest text is the same and of whose
+text at least ``ALIKE`` is also on the first page of that group count as one page. So each article counts once.
 
 Elements whose markup says that they are not text of the article (menus, forms, adverts, comments and so
-on) count as branches of no importance on every page, since many hosts have too few pages to compare.
+on) have no importance on the page itself, since many hosts have too few pages to compare.
 Inside an article, headings and paragraphs never count so by their class or id, and containers whose words an
-article's own sections use too (``related``, ``discussion``) only if half of their text or more is in links.
-If a page marks its article (``article`` or ``main``), the text is taken from there, and only single texts
-go from it, no branches. A page that would lose everything keeps what its own markup leaves.
+article's own sections use too (``related``, ``discussion``) only if half of their text or more is in links;
+inline elements with such words go only if nothing else is in their block.
+If a page marks its article (``article`` or ``main``), the text is taken from there, less the tree's texts and
+branches. A page that would lose everything keeps what its own markup leaves.
 
 Blocks are the texts between the borders of block elements; ``br`` is white space. Character references
 are decoded. The tree is built by aggregations on (host, path); a host's template, which is as long as a page,
@@ -40,10 +48,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from strata.llm.common import ascii_lower, map_arrow, stored
 from strata.session import written
 
-BRANCH = 0.2
+LOW = 0.2
+HIGH = 0.5
 DAMPING = 0.9
+PRIOR = 5
+ALIKE = 0.8
 BROADCAST_ITEMS = 200_000  # texts (hashes) and paths of all templates
-LEAST_PAGES = 8  # a node on fewer pages is not compared
 
 # Names of elements, and words that class, id and role use for what is not article text.
 BLOCK_TAGS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt
@@ -59,6 +69,8 @@ NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertisements ad
     sidebar sidebars side rail widget widgets related recommended recommendations share sharing social comment comments
     commentlist reply replies respond responses disqus discussion footer masthead topbar toolbar pagination pager skip
     search searchbox copyright legal disclaimer outbrain taboola""".split())
+# Of the next list, words that an inline element in an article is an advert by.
+ADVERT_WORDS = frozenset("ad ads promotion sponsor sponsored sponsors".split())
 # Words that an article's own sections use as well: inside an article they count for containers of links only.
 AMBIGUOUS_WORDS = frozenset("""ad ads alert banner comment copyright cookie cookies discussion disclaimer legal notice notices notification popup
     promotion rail recommendations recommended related replies reply respond responses search share sharing side skip
@@ -94,13 +106,15 @@ def _is_noise(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     noisy = [p for before, p in zip(["", *parts], parts) if p in NOISE_WORDS and before not in NOT_BEFORE]
     if in_article and tag in BLOCK_TAGS:
         return tag not in HEADINGS_AND_TEXT and any(p not in AMBIGUOUS_WORDS for p in noisy)
+    if in_article:
+        return any(p not in AMBIGUOUS_WORDS or p in ADVERT_WORDS for p in noisy)
     return bool(noisy) or tag == "div" and not in_article and "header" in parts
 
 
 def _is_doubtful(tag: str, attributes: dict[str, str]) -> bool:
-    """A container inside an article whose words say noise or a section of the article: its links decide."""
+    """An element inside an article whose words say noise or a section of the article: what is in it, and around it, decides."""
     parts = [p.lower() for p in _PARTS.findall(f"{attributes.get('class', '')} . {attributes.get('id', '')}")]
-    return tag in BLOCK_TAGS and tag not in HEADINGS_AND_TEXT and any(p in AMBIGUOUS_WORDS and before not in NOT_BEFORE for before, p in zip(["", *parts], parts))
+    return tag not in HEADINGS_AND_TEXT and any(p in AMBIGUOUS_WORDS and before not in NOT_BEFORE for before, p in zip(["", *parts], parts))
 
 
 def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
@@ -115,13 +129,17 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
     open_doubts: list[int] = []
     linked = 0  # open links
     muted = 0  # open inline elements of no importance: their text is left out of the block around them
+    hushed: list[int] = []  # depths of open doubtful inline elements
+    outside = False  # the block has text outside of those
 
     def flush() -> None:
+        nonlocal outside
         if text:
             words = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if words:
-                blocks.append((stack[-1][1], words, any(s[2] and s[0] in BLOCK_TAGS for s in stack), any(s[3] for s in stack)))
+                blocks.append((stack[-1][1], words, not outside or any(s[2] and s[0] in BLOCK_TAGS for s in stack), any(s[3] for s in stack)))
+        outside = False
 
     def close(depth: int) -> None:
         nonlocal muted, linked
@@ -131,12 +149,16 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
         while open_doubts and doubts[open_doubts[-1]][0] >= depth:
             doubts[open_doubts.pop()][2] = len(blocks)
         muted -= sum(s[2] and s[0] not in BLOCK_TAGS for s in stack[depth:])
+        while hushed and hushed[-1] >= depth:
+            hushed.pop()
         del stack[depth:]
 
     def add(piece: str) -> None:
+        nonlocal outside
         if not muted:
             text.append(piece)
             size = len("".join(piece.split()))
+            outside = outside or size > 0 and not hushed
             for d in open_doubts:
                 doubts[d][3] += size
                 doubts[d][4] += size if linked else 0
@@ -195,7 +217,9 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
             if noise and name not in BLOCK_TAGS:
                 text.append(" ")
                 muted += 1
-            if in_article and not noise and _is_doubtful(name, attributes):
+            if in_article and not noise and name not in BLOCK_TAGS and _is_doubtful(name, attributes):
+                hushed.append(len(stack))
+            elif in_article and not noise and _is_doubtful(name, attributes):
                 open_doubts.append(len(doubts))
                 doubts.append([len(stack), len(blocks), None, 0, 0])
             linked += name == "a"
@@ -208,82 +232,99 @@ def parse(page: str) -> tuple[list[tuple], dict[str, int]]:
 
 
 def page_nodes(pages: DataFrame, id: str, url: str, source: str) -> DataFrame:
-    """One row per page: (id, url, key, host, paths, texts, article, nodes, styles); written once."""
+    """One row per page, with its blocks side by side in arrays, and its longest text; written once."""
     kind = pages.schema[id].dataType.simpleString()
-    after = F.when(F.instr(url, "://") > 0, F.substring_index(F.col(url), "://", -1)).otherwise("")
+    after = F.regexp_extract(F.col(url), r"(?s)^.*?://(.*)$", 1)
     host = F.coalesce(ascii_lower(F.regexp_extract(after, r"^[^/?#]*", 0)), F.lit(""))
-    picked = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.xxhash64(url, source).alias("key"), host.alias("host"), F.coalesce(F.col(source), F.lit("")).alias("source"))
+    picked = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.monotonically_increasing_id().alias("key"), host.alias("host"),
+                          F.coalesce(F.col(source), F.lit("")).alias("source"))
+    names = ("paths", "texts", "noise", "article", "hashes", "nodes", "styles", "own", "sizes", "longest")
 
     def run(batch: pa.RecordBatch):
-        names = ("paths", "texts", "article", "nodes", "styles")
         out = {n: [] for n in names}
         for page in batch.column("source").to_pylist():
             blocks, styles = parse(page)
-            blocks = [b for b in blocks if not b[2]]  # what its own markup excludes is of no importance anywhere
-            for n, x in zip(names, (*([b[k] for b in blocks] for k in (0, 1, 3)), list(styles), list(styles.values()))):
+            hashes = [xxhash.xxh64_intdigest(b[1]) >> 1 for b in blocks]
+            own = {h: len(b[1]) for h, b in zip(hashes, blocks) if not b[2] and b[3]} or {h: len(b[1]) for h, b in zip(hashes, blocks) if not b[2]}
+            longest = max(own, key=lambda h: (own[h], h), default=None)
+            for n, x in zip(names, (*([b[k] for b in blocks] for k in range(4)), hashes, list(styles), list(styles.values()),
+                                    list(own), list(own.values()), longest)):
                 out[n].append(x)
         yield {n: batch.column(n) for n in ("id", "url", "key", "host")} | out
-    schema = (f"id {kind}, url string, key bigint, host string, paths array<string>, texts array<string>, "
-              "article array<boolean>, nodes array<string>, styles array<bigint>")
+    schema = (f"id {kind}, url string, key bigint, host string, paths array<string>, texts array<string>, noise array<boolean>, "
+              "article array<boolean>, hashes array<bigint>, nodes array<string>, styles array<bigint>, own array<bigint>, sizes array<bigint>, longest bigint")
     return stored(map_arrow(picked, run, schema), "pages")
 
 
-def _logm(x: Column, m: Column) -> Column:
-    return F.when(m > 1, F.log(x) / F.log(m)).otherwise(F.lit(0.0))
+def copies(nodes: DataFrame) -> DataFrame:
+    """(key) of pages that are near copies of another page of their host, the first of each group excepted."""
+    pages = nodes.where("longest is not null")
+    first = (pages.groupBy("host", "longest").agg(F.min_by(F.struct("key", "own"), "key").alias("first"), F.count(F.lit(1)).alias("n"))
+             .where("n > 1").select("host", "longest", F.col("first.key").alias("head"), F.col("first.own").alias("theirs")))
+    both = pages.select("host", "longest", "key", "own", "sizes").join(first, ["host", "longest"]).where("key <> head")
+    total = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    shared = F.aggregate(F.filter(F.arrays_zip("own", "sizes"), lambda b: F.array_contains(F.col("theirs"), b["own"])), F.lit(0).cast("bigint"), lambda a, b: a + b["sizes"])
+    return both.where(shared >= ALIKE * total).select("key")
 
 
 def template(nodes: DataFrame) -> DataFrame:
-    """(host, low_texts, low_branches): texts at their paths, and branches, of low importance. A text
-    listed is on half of the pages that have its path, so a host's list is no longer than a few pages."""
-    leaf = (nodes.select("host", "id", "key", F.explode(F.array_distinct(F.arrays_zip("paths", F.transform("texts", lambda t: F.xxhash64(t)).alias("hashes")))).alias("b"))
-            .groupBy("host", F.col("b.paths").alias("path"), F.col("b.hashes").alias("hash")).agg(F.count(F.lit(1)).alias("d")))
+    """(host, low_texts, low_branches): texts at their paths, and branches, of low importance that markup does
+    not exclude everywhere. A text listed is on half of the pages that have its path, so a host's list is no longer than a few pages."""
+    leaf = (nodes.select("host", F.explode(F.array_distinct(F.arrays_zip("paths", "hashes", "noise"))).alias("b"))
+            .groupBy("host", F.col("b.paths").alias("path"), F.col("b.hashes").alias("hash"))
+            .agg(F.count(F.lit(1)).alias("d"), F.sum(F.col("b.noise").cast("bigint")).alias("marked")))
     leaf = written(leaf, "leaves")
-    on_pages = (nodes.select("host", F.explode(F.array_distinct("paths")).alias("path")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("m")))
-    valued = (leaf.join(on_pages, ["host", "path"])
-              .withColumn("importance", F.when(F.col("m") < LEAST_PAGES, 1.0).otherwise(1 - _logm(F.col("d"), F.col("m")))))
-    texts = valued.where((F.col("m") >= LEAST_PAGES) & (2 * F.col("d") >= F.col("m"))).select("host", "path", "hash")
-    # Mean content importance below every branch.
-    sums = valued.groupBy("host", "path").agg(F.sum(F.col("d") * F.col("importance")).alias("s"), F.sum("d").alias("n"))
+    on_pages = nodes.select("host", F.explode(F.array_distinct("paths")).alias("path")).groupBy("host", "path").agg(F.count(F.lit(1)).alias("m"))
+    # Importance depends on d and m alone, so a node's texts are counted by d before they meet its m.
+    nodes_by_d = leaf.groupBy("host", "path", "d").agg(F.count(F.lit(1)).alias("n"), F.sum("marked").alias("marked"))
+    importance = F.greatest(F.lit(0.0), 1 - F.log("d") / F.log(F.col("m") + PRIOR))
+    sums = (nodes_by_d.join(on_pages, ["host", "path"]).groupBy("host", "path")
+            .agg(F.sum(F.col("n") * F.col("d") * importance).alias("s"), F.sum(F.col("n") * F.col("d")).alias("n"), F.sum("marked").alias("marked")))
+    sums = sums.withColumn("s", F.col("s") * (1 - F.col("marked") / F.col("n")))
+    texts = (leaf.where((F.col("marked") < F.col("d")) & (2 * F.col("d") > PRIOR)).join(on_pages, ["host", "path"])
+             .where((importance < LOW) & (2 * F.col("d") >= F.col("m") + PRIOR)).select("host", "path", "hash"))
+    # Mean content importance below every branch, and that of its most important node.
     parts = F.split("path", "/")
     prefixes = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
-    below = (sums.where(F.size(parts) >= 2).select("host", F.explode(prefixes).alias("path"), "s", "n")
-             .groupBy("host", "path").agg((F.sum("s") / F.sum("n")).alias("content")))
+    below = (sums.where(F.size(parts) >= 2).select("host", F.explode(prefixes).alias("path"), "s", "n", "marked").groupBy("host", "path")
+             .agg((F.sum("s") / F.sum("n")).alias("content"), F.max(F.col("s") / F.col("n")).alias("most"), F.sum(F.col("n") - F.col("marked")).alias("unmarked"))
+             .where((F.col("unmarked") > 0) & (F.col("most") <= HIGH)))
     style = (nodes.select("host", F.explode(F.arrays_zip("nodes", "styles")).alias("x")).groupBy("host", F.col("x.nodes").alias("path"), F.col("x.styles").alias("style"))
              .agg(F.count(F.lit(1)).alias("c")).groupBy("host", "path")
              .agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("l"), F.sum(F.col("c") * F.log("c")).alias("clogc")))
     spread = F.when(F.col("m") > 1, (F.log("m") - F.col("clogc") / F.col("m")) / F.log("m")).otherwise(1.0)
     whole = below.join(style, ["host", "path"], "left").na.fill({"m": 0, "l": 1, "clogc": 0.0})
     weight = F.pow(F.lit(DAMPING), F.col("l"))
-    composite = (1 - weight) * F.coalesce(spread, F.lit(0.0)) + weight * F.col("content")
-    branches = whole.where((F.col("m") >= LEAST_PAGES) & (composite < BRANCH)).select("host", "path")
+    branches = whole.where((1 - weight) * spread + weight * F.col("content") < LOW).select("host", "path")
     by_text = texts.groupBy("host").agg(F.collect_list(F.struct("path", "hash")).alias("low_texts"))
     by_branch = branches.groupBy("host").agg(F.collect_list("path").alias("low_branches"))
     return by_text.join(by_branch, "host", "full")
 
 
 def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
-    """(id, url, text) of every page: its article, blocks joined by empty lines."""
+    """(id, url, text, by_tree) of every page: its article, blocks joined by empty lines. ``by_tree`` counts the blocks
+    that markup left and the tree took."""
     nodes = page_nodes(pages, id, url, source)
-    low = stored(template(nodes), "template")
+    low = stored(template(nodes.join(stored(copies(nodes), "copies"), "key", "left_anti")), "template")
     # Pages stay where they are if the templates are small enough to send to all of them.
     items = low.agg(F.coalesce(F.sum(F.coalesce(F.size("low_texts"), F.lit(0)) + F.coalesce(F.size("low_branches"), F.lit(0))), F.lit(0))).first()[0]
     low = F.broadcast(low) if items <= BROADCAST_ITEMS else low
     kind = pages.schema[id].dataType.simpleString()
 
     def run(batch: pa.RecordBatch):
-        out, known = [], {}
-        for host, paths, texts, hashes, article, low_texts, low_branches in zip(*(batch.column(k).to_pylist() for k in range(2, 9))):
+        out, taken, known = [], [], {}
+        for host, paths, texts, noise, article, hashes, low_texts, low_branches in zip(*(batch.column(k).to_pylist() for k in range(2, 10))):
             if host not in known:  # pages of one host come in a row or not; few hosts are in one slice
-                known[host] = ({(x["path"], x["hash"]) for x in low_texts or ()}, tuple(low_branches or ()))
-            one, above = known[host]
-            marked = [k for k in range(len(texts)) if article[k]]
-            kept = marked or range(len(texts))
-            left = [k for k in kept if (paths[k], hashes[k]) not in one]
-            if not marked and above:
-                left = [k for k in left if not any(f"{paths[k]}/".startswith(f"{b}/") for b in above)]
-            out.append("\n\n".join(texts[k] for k in left or kept))
-        yield {"id": batch.column("id"), "url": batch.column("url"), "text": out}
-    joined = nodes.drop("nodes", "styles").join(low, "host", "left")
-    hashed = F.transform("texts", lambda t: F.xxhash64(t)).alias("hashes")
-    return map_arrow(joined.select("id", "url", "host", "paths", "texts", hashed, "article", "low_texts", "low_branches"), run,
-                     f"id {kind}, url string, text string", rows=256)
+                known[host] = ({(x["path"], x["hash"]) for x in low_texts or ()}, set(low_branches or ()))
+            one, branches = known[host]
+            own = [k for k in range(len(texts)) if not noise[k]]
+            own = [k for k in own if article[k]] or own
+            left = [k for k in own if (paths[k], hashes[k]) not in one]
+            if branches:
+                left = [k for k in left if paths[k] not in branches and not any(paths[k][:i] in branches for i, c in enumerate(paths[k]) if c == "/")]
+            out.append("\n\n".join(texts[k] for k in left or own))
+            taken.append(len(own) - len(left or own))
+        yield {"id": batch.column("id"), "url": batch.column("url"), "text": out, "by_tree": taken}
+    joined = nodes.select("id", "url", "host", "paths", "texts", "noise", "article", "hashes").join(low, "host", "left")
+    return map_arrow(joined.select("id", "url", "host", "paths", "texts", "noise", "article", "hashes", "low_texts", "low_branches"), run,
+                     f"id {kind}, url string, text string, by_tree int", rows=256)
