@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strata.llm.common import labelled_sample, map_arrow
+from strata.llm.common import fresh, labelled_sample, map_arrow
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_capitals", "n_marks", "n_same_next", "n_lines", "n_distinct")
@@ -75,12 +75,13 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the columns COUNTS and MORE (long)."""
     added = (*COUNTS, *MORE)
     kept = [f for f in df.schema.fields if f.name.lower() not in added]
+    own, = fresh(df, "_measured")
 
     def run(batch: pa.RecordBatch):
-        rows = [measure(t) for t in batch.column("_measured").to_pylist()]
+        rows = [measure(t) for t in batch.column(own).to_pylist()]
         yield {f.name: batch.column(f.name) for f in kept} | dict(zip(added, map(list, zip(*rows))))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{a} bigint" for a in added)])
-    bytes_ = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("_measured")
+    bytes_ = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias(own)
     return map_arrow(df.select(*[f"`{f.name}`" for f in kept], bytes_), run, schema)
 
 

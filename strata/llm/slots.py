@@ -71,8 +71,8 @@ def slot_of(key: Column, size: int = SIZE) -> Column:
 
 def place(df: DataFrame, key: str, table: DataFrame, size: int = SIZE, spread: list[str] | None = None) -> DataFrame:
     """``df`` with ``slot`` and ``shard``. With ``spread``, the key and those columns choose the slot."""
-    slot, shard = fresh(df, "slot", "shard")
+    slot, shard, at = fresh(df, "slot", "shard", "_at")
     by = F.col(key) if not spread else F.concat_ws("\0", F.coalesce(F.col(key).cast("string"), F.lit("")), *[F.col(c).cast("string") for c in spread])
-    known = F.broadcast(table.select(F.col("slot").alias("_at"), F.col("shard").alias(shard)))
+    known = F.broadcast(table.select(F.col("slot").alias(at), F.col("shard").alias(shard)))
     placed = df.withColumn(slot, slot_of(by, size))
-    return placed.join(known, placed[slot] == F.col("_at")).drop("_at")
+    return placed.join(known, F.col(slot) == F.col(at)).drop(at)

@@ -58,3 +58,8 @@ def test_train_and_judge(spark):
     assert all(r["kept"] == (r["doc_id"] < 60) for r in rows)
     assert train(frame, labels.limit(0)).rules == [] and measures(docs(spark)).count() == 0
     assert set(COUNTS) <= set(rows[0].asDict())
+
+
+def test_clashing_column(spark):
+    got = measures(docs(spark, "one two", None).withColumn("_measured", F.lit("x"))).orderBy("doc_id").collect()
+    assert [(r["_measured"], r["n_words"]) for r in got] == [("x", 2), ("x", 0)]

@@ -7,6 +7,8 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from helpers import docs
+from pyspark.sql import functions as F
 from strata.llm.decisions import measure
 from strata.llm.queries import ORACLES, QUERIES
 from strata.session import written
@@ -59,3 +61,13 @@ def test_query(spark, name):
 def test_digests(spark):
     row = QUERIES["op8_positional_index"](spark, SF).where("n_items = 0").first()
     assert row["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Every filtering stage takes documents with extra columns named like its own."""
+    rows = docs(spark, "some words of a text", None, "").withColumns({c: F.lit(1) for c in ("_id", "_hash", "_measured", "n_words", "kept", "oi", "ot", "digest", "ids")})
+    written_docs = written(rows, "clash")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        assert stage(spark, written_docs, str(tmp_path)).columns == corpus_pipeline.COLUMNS and stage(spark, written_docs, str(tmp_path)).count() >= 1

@@ -44,3 +44,9 @@ def test_place(spark):
     hot = docs(spark, *map(str, range(50)), ids=[1] * 50)
     assert place(hot, "doc_id", table, 101).select("shard").distinct().count() == 1
     assert place(hot, "doc_id", table, 101, spread=["text"]).select("shard").distinct().count() == 2
+
+
+def test_clashing_columns(spark):
+    df = docs(spark, "a", "b").withColumns({"_at": F.lit("x"), "slot": F.lit("y"), "Shard": F.lit("z")})
+    got = place(df, "doc_id", lookup(spark, ["s", "t"], 101), 101)
+    assert set(df.columns) < set(got.columns) and {tuple(r) for r in got.select("_at", "slot", "Shard").collect()} == {("x", "y", "z")} and got.count() == 2
