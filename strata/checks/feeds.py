@@ -40,18 +40,11 @@ def stream_upsert_events(spark, sf):
 
 @query(_LATEST)
 def stream_latest_final(spark, sf):
-    """Newest version per entity under a watermark, rows arriving out of order."""
-    folder = scratch(spark, "latest")
-    stream = _event_stream(spark, sf).withWatermark("ts", "60 days")
-    latest = watch.latest(stream, "entity_id", ["ts", "event_id"], "operation", "event_id", "value")
-
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{folder}/{batch_id}")
-
-    q = (latest.writeStream.outputMode("complete").foreachBatch(keep)
-         .option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{folder}/{q.lastProgress['batchId']}")
+    """Newest version per entity from a stream's updates, rows arriving out of order by up to the watermark."""
+    folder, values = scratch(spark, "latest"), ("operation", "event_id", "value")
+    updates = watch.latest_updates(_event_stream(spark, sf), "entity_id", "ts", ["event_id"], *values, watermark="60 days", width="7 days")
+    watch.append_stream(updates, folder, scratch(spark, "offsets")).awaitTermination()
+    return watch.latest(spark.read.parquet(folder), "entity_id", ["ts", "event_id"], *values)
 
 
 @query("SELECT source, length(text) + 1 AS n FROM documents")

@@ -112,11 +112,16 @@ class GraphStore:
     def write(self, nodes: DataFrame, edges: DataFrame) -> int:
         """Commit a version: nodes by kind, edges by type, each sorted for its lookups. Rows are
         spread by id within a label, so a label with most of the rows is written by many tasks."""
+        v = self._stage(nodes, edges)
+        self.commit(v)
+        return v
+
+    def _stage(self, nodes: DataFrame, edges: DataFrame) -> int:
+        """Write a version that no reader sees yet."""
         v = self._claim()
         base = f"{self.path}/v{v}"
         write_nodes(nodes_like(nodes), f"{base}/nodes")
         write_edges(edges_like(edges), f"{base}/edges")
-        self.commit(v)
         return v
 
     def _claim(self) -> int:
@@ -140,8 +145,15 @@ class GraphStore:
         self._fs().create(self._p("commits", str(version)), True).close()
 
     def upsert(self, nodes: DataFrame, edges: DataFrame) -> int:
-        n, e = self.read()
-        return self.write(upsert_nodes(n, nodes_like(nodes)), upsert_edges(e, edges_like(edges)))
+        """Upsert into the latest version. If another writer commits meanwhile, the batch is applied again to
+        that version, so neither is lost; only commits within the moment between look and commit can cross."""
+        while True:
+            base = self.version()
+            n, e = self.read(base)
+            v = self._stage(upsert_nodes(n, nodes_like(nodes)), upsert_edges(e, edges_like(edges)))
+            if self.version() == base:
+                self.commit(v)
+                return v
 
     def reset(self) -> int:
         """Empty graph as the newest version."""

@@ -97,9 +97,26 @@ def upsert_stream(stream: DataFrame, folder: str, checkpoint: str, key: str, seq
             .trigger(availableNow=True).start())
 
 
+def latest_updates(stream: DataFrame, key: str, ts: str, seq: list[str], *values: str, watermark: str, width: str) -> DataFrame:
+    """For update mode: (key, ts, seq, values), a key's newest values within a stretch of ``width`` whenever they change.
+    ``latest`` over the updates gives the newest of all. State is one row per key and stretch, combined before the
+    shuffle, and goes when the watermark has passed the stretch; rows later than that are dropped, as are null times."""
+    order = list(dict.fromkeys([ts, *seq]))
+    best = F.max_by(F.struct(*dict.fromkeys([*order, *values])), F.struct(*order))
+    return stream.withWatermark(ts, watermark).groupBy(F.window(ts, width).alias("_w"), key).agg(best.alias("_v")).select(key, "_v.*")
+
+
+def append_stream(updates: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Updates as Parquet, one folder per micro-batch; a retried batch replaces its own folder only."""
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    return (updates.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def latest(df: DataFrame, key: str, seq: Column | str, *values: str) -> DataFrame:
-    """Newest values per key; the same aggregation serves a batch and, in complete or update
-    mode, a stream with rows out of order."""
+    """Newest values per key; the same aggregation serves a batch, a stream's updates and, in complete mode, a stream
+    with rows out of order."""
     at = F.struct(*[F.col(s) if isinstance(s, str) else s for s in (seq if isinstance(seq, (list, tuple)) else [seq])])
     best = F.max_by(F.struct(*values), at)
     return df.groupBy(key).agg(best.alias("_v")).select(key, "_v.*")

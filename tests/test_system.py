@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Observation, functions as F
 
 from conftest import rows
+from strata.model import EDGE_SCHEMA, nodes_like
 from strata.plans.analyze import AnalyzeConfig, analyze, analyze_directory
 from strata.plans.graph import schema, unresolved
 from strata.sources import facts, files, globs
@@ -225,3 +226,48 @@ def test_registered_language_with_its_resolver(spark, sources):
         assert g.nodes.where("kind = 'Toy'").count() == 2 and g.edges.where("type = 'NAMES'").count() == 1
     finally:
         registry.EXTRACTORS.pop("toy"), registry.RESOLVERS.pop("toy"), ids.LANGUAGE_BY_EXTENSION.pop(".toy"), ids.EXTENSIONS.remove(".toy")
+
+
+def test_upserts_of_two_writers_both_survive(spark, tmp_path):
+    def node(i):
+        return spark.sql(f"SELECT 'n{i}' AS entity_id, 'File' AS kind, 'f{i}' AS name, 0L AS seq")
+
+    class Slow(GraphStore):
+        """Another writer commits while this one's first version is being written."""
+        meanwhile = True
+
+        def _claim(self):
+            v = super()._claim()
+            if self.meanwhile:
+                self.meanwhile = False
+                GraphStore(spark, self.path).upsert(nodes_like(node(2)), none)
+            return v
+
+    path = str(tmp_path / "g")
+    none = spark.createDataFrame([], EDGE_SCHEMA)
+    GraphStore(spark, path).upsert(nodes_like(node(0)), none)
+    v = Slow(spark, path).upsert(nodes_like(node(1)), none)
+    store = GraphStore(spark, path)
+    assert store.version() == v and rows(store.read()[0], "entity_id") == [("n0",), ("n1",), ("n2",)]
+
+
+def test_updates_drop_state_behind_the_watermark(spark, tmp_path):
+    batches = [[("a", "2024-01-01 00:00:00", 1, "x"), ("b", "2024-01-01 01:00:00", 2, "y"), ("a", "2024-01-01 02:00:00", 3, "z"), (None, None, 4, "no time")],
+               [("a", "2024-02-01 00:00:00", 5, "v")],
+               [("b", "2024-01-01 03:00:00", 6, "too late"), ("a", "2024-02-01 00:00:00", 7, "tie goes to the larger id"), (None, "2024-02-01 00:00:00", 8, None)]]
+    for i, b in enumerate(batches):
+        df = spark.createDataFrame(b, "k string, at string, id long, v string").withColumn("at", F.col("at").cast("timestamp"))
+        df.coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+    q = None
+    for i in range(len(batches)):
+        # The folder grows between runs of the same query.
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for f in (tmp_path / f"in{i}").glob("part-*.parquet"):
+            (tmp_path / "in" / f"{i}-{f.name}").write_bytes(f.read_bytes())
+        stream = spark.readStream.schema("k string, at timestamp, id long, v string").parquet(str(tmp_path / "in"))
+        q = watch.append_stream(watch.latest_updates(stream, "k", "at", ["id"], "v", watermark="1 day", width="1 day"), str(tmp_path / "out"), str(tmp_path / "cp"))
+        q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert {tuple(r) for r in watch.latest(out, "k", ["at", "id"], "id", "v").collect()} == {("a", 7, "tie goes to the larger id"), ("b", 2, "y"), (None, 8, None)}
+    # January's rows have left the state; what remains is February's.
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
