@@ -11,7 +11,7 @@ from strata.plans.extract import markup, typescript
 from strata.plans.extract.common import file_nodes, lines
 from strata.session import scratch
 from strata.sources import corpus, facts, globs
-from strata.sources.bindings import doc_src, load, page_path, page_scripts, page_src
+from strata.sources.bindings import doc_files, doc_src, load, page_path, page_scripts, page_src
 from strata.sources.files import write_files
 
 _PAGE_FILE = f"'/pages/' || CAST(page_id AS VARCHAR) || {PAGE_PATH}"
@@ -178,8 +178,7 @@ def scan_corpus_docs(spark, sf):
     """Documents written as one file each, then scanned with an ignored tree pruned
     before listing and another filtered by path."""
     root = scratch(spark, "corpus")
-    d = load(spark, sf, "documents").select("source", "lang", "text")
-    d.write.partitionBy("source", "lang").option("maxRecordsPerFile", 1).text(root)
+    doc_files(spark, sf, root, "source", "lang")
     files = corpus.scan_corpus(spark, root, exts=["txt"], ignore=["**/source=src1/**", "**/lang=fr/**"])
     return files.select(F.regexp_extract("path", r"/source=(\w+)/", 1).alias("source"),
                         F.length("text").alias("n"), ids.line_count("text").alias("loc"))

@@ -13,6 +13,7 @@ from strata.functions.ids import edge_id
 from strata.functions.props import to_map
 from strata.operators.dedup import union_facts
 from strata.sources.corpus import as_sources
+from strata.sources.files import write_files
 
 
 def load(spark: SparkSession, sf: str, table: str, spread_from: int | None = None) -> DataFrame:
@@ -123,6 +124,16 @@ def doc_src(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", path.alias("path"), F.lit("Text").alias("language"), "text", "lang", "source")
 
 
+def doc_files(spark: SparkSession, sf: str, root: str, *folders: str) -> None:
+    """One text file per document below ``root``, ended by a line break, in a folder ``column=value`` for each of ``folders``.
+    Files are numbered by partition and place in it, as no column need be unique."""
+    d = load(spark, sf, "documents").select(*folders, "text")
+    levels = [F.concat(F.lit(f"{c}="), F.url_encode(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__")))) for c in folders]
+    path = F.concat_ws("/", *levels, F.concat(F.monotonically_increasing_id().cast("string"), F.lit(".txt")))
+    files = d.select(path.alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"))
+    write_files(files, root).write.format("noop").mode("overwrite").save()
+
+
 def change_feed(spark: SparkSession, sf: str) -> DataFrame:
     """Events as changes of entities: the user is the entity, the time its version."""
     e = load(spark, sf, "events")

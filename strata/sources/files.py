@@ -12,10 +12,11 @@ Symbolic links are not followed. Stores are those that ``pyarrow.fs`` opens by t
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -60,20 +61,35 @@ class Folder:
     def _known(self, path: str) -> str:
         return path if path.startswith("/") else f"/{path}"
 
-    def list(self, folder: str) -> list[pyarrow.fs.FileInfo]:
-        found = self.fs.get_file_info(pyarrow.fs.FileSelector(folder))
-        if isinstance(self.fs, pyarrow.fs.LocalFileSystem):
-            import os
-            found = [f for f in found if not os.path.islink(f.path)]
+    def list(self, folder: str, mine: Callable[[str], bool] = lambda name: True) -> list[pyarrow.fs.FileInfo]:
+        """Folders, and the files with a wanted extension whose name is ``mine``. Other local files are not looked at,
+        so that the tasks that share a folder look at each file once."""
+        if not isinstance(self.fs, pyarrow.fs.LocalFileSystem):
+            return [f for f in self.fs.get_file_info(pyarrow.fs.FileSelector(folder))
+                    if f.type == pyarrow.fs.FileType.Directory or (self.named(f.base_name) and mine(f.base_name))]
+        found = []
+        with os.scandir(folder) as entries:
+            for e in entries:
+                if e.is_dir(follow_symlinks=False):
+                    found.append(pyarrow.fs.FileInfo(e.path, pyarrow.fs.FileType.Directory))
+                elif e.is_file(follow_symlinks=False) and self.named(e.name) and mine(e.name):
+                    try:
+                        s = e.stat(follow_symlinks=False)
+                    except FileNotFoundError:
+                        continue  # gone since it was listed
+                    found.append(pyarrow.fs.FileInfo(e.path, pyarrow.fs.FileType.File, mtime_ns=s.st_mtime_ns, size=s.st_size))
         return found
 
+    def named(self, name: str) -> bool:
+        """The extension counts in any case."""
+        dot = name.rfind(".")
+        return not self.exts or (dot > 0 and name[dot:].lower() in self.exts)
+
     def wanted(self, f: pyarrow.fs.FileInfo) -> bool:
-        """Judged by name: the extension counts in any case."""
+        """Judged by name."""
         if f.type != pyarrow.fs.FileType.File:
             return False
-        dot = f.base_name.rfind(".")
-        return (not self.exts or (dot > 0 and f.base_name[dot:].lower() in self.exts)) and not (
-            self.ignore and self.ignore.search(self._known(f.path)))
+        return self.named(f.base_name) and not (self.ignore and self.ignore.search(self._known(f.path)))
 
     def walk(self) -> Iterator[tuple[str, list | str]]:
         """(folder, its files) of every folder, or (folder, error)."""
@@ -128,14 +144,16 @@ class Folder:
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = [(path, None, None, None, error) for path, error in part.errors]
         held = 0
+
+        mine = [lambda name: zlib.crc32(name.encode()) % part.n == part.k] if part.n > 1 else []
         for folder in part.folders:
             try:
-                found = sorted(self.list(folder), key=lambda f: f.base_name)
+                found = sorted(self.list(folder, *mine), key=lambda f: f.base_name)
             except OSError as e:
                 rows.append((self._known(folder), None, None, None, f"{type(e).__name__}: {e}"))
                 continue
             for f in found:
-                if not self.wanted(f) or zlib.crc32(f.base_name.encode()) % part.n != part.k:
+                if not self.wanted(f):
                     continue
                 if part.since is not None and not part.since < f.mtime_ns <= part.until:
                     continue
@@ -229,12 +247,16 @@ def write_files(df, root: str, path: str = "path", text: str = "text"):
     """Write each row's text as a file below ``root``; returns (path, bytes) of what was written. Rows of one path
     replace each other, so a task that runs again changes nothing."""
     def run(batches):
-        place = Folder({"path": root})
+        place, made = Folder({"path": root}), set()
         for batch in batches:
             paths, sizes = [], []
+            made.clear()
             for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data, target = (t or "").encode(), f"{place.root}/{p.lstrip('/')}"
-                place.fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    place.fs.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with place.fs.open_output_stream(target) as out:
                     out.write(data)
                 paths.append(p)

@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow.fs
 import pytest
 from pyspark.sql import Observation, functions as F
 
@@ -10,6 +11,7 @@ from strata.model import EDGE_SCHEMA, nodes_like
 from strata.plans.analyze import AnalyzeConfig, analyze, analyze_directory
 from strata.plans.graph import schema, unresolved
 from strata.sources import facts, files, globs
+from strata.sources.bindings import doc_files
 from strata.sources.corpus import scan_corpus, scan_errors, scan_roots, spread
 from strata.sources.store import GraphStore, check_graph, lookup
 from strata.streaming import watch
@@ -107,6 +109,28 @@ def test_slices_of_a_folder_cover_it_once(tmp_path, monkeypatch):
     assert sorted(x for b in batches for x in b.column("size").to_pylist()) == sorted([*range(50), 1]) and len(batches) > len(parts)
 
 
+def test_tasks_that_share_a_folder_look_at_each_file_once(tmp_path, monkeypatch):
+    for i in range(60):
+        (tmp_path / f"{i}.py").write_text("x")
+    monkeypatch.setattr(files, "SLICE_FILES", 10)
+    folder = files.Folder({"path": str(tmp_path), "extensions": '[".py"]'})
+    parts, looked = folder.slices(), []
+    real = pyarrow.fs.FileInfo
+    monkeypatch.setattr(files.pyarrow.fs, "FileInfo", lambda path, *a, **k: looked.append(path) or real(path, *a, **k))
+    assert len(parts) == 6 and sum(b.num_rows for p in parts for b in folder.read(p)) == 60
+    assert len(looked) == 60
+
+
+def test_document_files_hold_every_row(spark, tmp_path):
+    """Keys and texts may repeat or be null."""
+    given = [("a", "x"), ("a", "x"), ("a", None), (None, "y"), ("", "z\n"), ("b c/d", "é")]
+    spark.createDataFrame(given, "source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    doc_files(spark, str(tmp_path), str(tmp_path / "out"), "source")
+    found = rows(scan_corpus(spark, str(tmp_path / "out"), exts=["txt"]), "text", "path")
+    assert sorted(t for t, _ in found) == sorted((t or "") + "\n" for _, t in given)
+    assert sum("/source=a/" in p for _, p in found) == 3 and sum("/source=__HIVE_DEFAULT_PARTITION__/" in p for _, p in found) == 2
+
+
 def test_what_cannot_be_read_is_a_row(spark, tmp_path, monkeypatch):
     lost = rows(scan_errors(spark, str(tmp_path / "none")), "path", "error")
     assert len(lost) == 1 and lost[0][0] == str(tmp_path / "none") and "FileNotFound" in lost[0][1]
