@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strata.checks.registry import query
 from strata.session import scratch
-from strata.sources.bindings import change_feed, doc_src, load
+from strata.sources.bindings import change_feed, doc_files, doc_src, load
 from strata.streaming import watch
 
 _EVENTS = "event_id bigint, ts timestamp, entity_id string, user_id bigint, operation string, value double, props string"
@@ -51,8 +51,7 @@ def stream_latest_final(spark, sf):
 def stream_watch_docs(spark, sf):
     """Documents as one file each, picked up by the file stream."""
     root, folder = scratch(spark, "watched"), scratch(spark, "seen")
-    docs = load(spark, sf, "documents").select("source", "text")
-    docs.write.partitionBy("source").option("maxRecordsPerFile", 1).text(root)
+    doc_files(spark, sf, root, "source")
     stream = watch.watch_files(spark, root, exts=[".txt"])
     q = (stream.select(F.regexp_extract("path", r"/source=(\w+)/", 1).alias("source"), F.length("text").alias("n"))
          .writeStream.format("parquet").option("path", folder).option("checkpointLocation", scratch(spark, "offsets"))
