@@ -175,3 +175,22 @@ def test_go_type_block(sources):
     n = golang.nodes(golang.decorate(sources(("/a.go", code))))
     assert rows(n.where("kind in ('GoStruct', 'GoInterface')"), "kind", "name", "start_line", "end_line") == [
         ("GoInterface", "B", 11, 13), ("GoStruct", "A", 4, 9), ("GoStruct", "C", 16, 17)]
+
+
+def test_tokens_are_not_shuffled_and_tasks_grow_with_the_texts(spark, sources):
+    """Only whole texts move, so that what a task has to sort does not grow with the corpus."""
+    from strata.plans.extract.lexical import by_file
+    src = sources(*[(f"/a/{i}.go", "package p\n\nfunc F() {\n}\n" * 20) for i in range(40)])
+    assert by_file(src, 2000).rdd.getNumPartitions() == 10 and by_file(src.limit(0)).rdd.getNumPartitions() == 1
+    plan = golang.decorate(src)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("Generate ") < plan.index("Exchange ")
+
+
+def test_markup_of_many_files_in_one_batch(spark, sources):
+    """Files do not see one another, and none costs a call of its own."""
+    src = sources(*[(f"/u/{i}.tsx", f"const A = () => <div id='{i}'><b>x</b>{'<i>' * (i % 2)}</div>;\n") for i in range(30)])
+    els = markup.elements(src)
+    assert "FlatMapGroupsInArrow" not in els._jdf.queryExecution().executedPlan().toString()
+    got = els.groupBy("path").agg(F.count("tag").alias("n"), F.count("parent_id").alias("inside")).collect()
+    assert sorted((r["n"], r["inside"]) for r in got) == [(2, 1)] * 15 + [(3, 2)] * 15
+    assert all(p is None or f"{path}:div:".lower() in p for path, p in els.select("path", "parent_id").collect())
