@@ -10,8 +10,10 @@ pruned from its end while that does not make it worse on the other third; it joi
 right there often enough, and the rows that it covers leave. Then the next rule is learnt from what
 remains. The list becomes one Spark CASE expression.
 
-The fit uses at most ``sample`` labelled rows (by hash of their id; 10,000 by default) and tries at
-most ``CUTS`` thresholds a feature. Every row is measured and judged.
+The fit uses every labelled row. Spark counts them by feature and value (to ``1 << (52 - DROPPED)`` steps within a power of two,
+with the least and greatest value of each step), which gives at most ``CUTS`` thresholds a feature; then each condition of a rule is
+found in one count of rows by feature and threshold. The driver holds these counts, whose number does not depend on that of the
+rows. A hash of a row's id decides whether it grows or prunes rules. Every row is measured and judged.
 
 Edge cases: null and empty texts have no words; texts without words fail the base rules and go;
 null labels do not count; without labels of both kinds the list is empty and only the base rules
@@ -21,18 +23,20 @@ that are named like a measure are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strata.llm.common import fresh, labelled_sample, map_arrow
+from strata.llm.common import fresh, map_arrow
+from strata.session import written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_capitals", "n_marks", "n_same_next", "n_lines", "n_distinct")
-SAMPLE = 10_000
 CUTS = 64
+DROPPED = 42  # last bits of a value that do not part steps
 LEAST_RIGHT = 0.9  # of the rows a rule covers when pruned
 LEAST_COVERED = 3
 SYMBOLS = b"#*$%&|<>"
@@ -138,28 +142,38 @@ def _covered(rule: list[Condition], x: dict[str, np.ndarray], n: int) -> np.ndar
     return out
 
 
-def _cuts(values: np.ndarray) -> np.ndarray:
-    """At most CUTS thresholds halfway between neighbouring values, spread evenly over the rows."""
-    v = np.unique(values)
-    middle = (v[:-1] + v[1:]) / 2
+def _steps(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(step, rows, least, greatest value) of values that are not negative."""
+    v = np.sort(values)
+    step, first, n = np.unique(v.view(np.int64) >> DROPPED, return_index=True, return_counts=True)
+    return step, n, v[first], v[first + n - 1]
+
+
+def _cuts(n: np.ndarray, least: np.ndarray, greatest: np.ndarray) -> np.ndarray:
+    """At most CUTS thresholds halfway between neighbouring steps, spread evenly over the rows."""
+    middle = (greatest[:-1] + least[1:]) / 2
     if len(middle) > CUTS:
-        middle = np.unique(middle[np.searchsorted(middle, np.quantile(values, np.linspace(0, 1, CUTS)), side="left").clip(0, len(middle) - 1)])
+        place = np.linspace(0, n.sum() - 1, CUTS)
+        middle = np.unique(middle[np.searchsorted(np.cumsum(n), place, side="right").clip(0, len(middle) - 1)])
     return middle
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: dict[str, np.ndarray]) -> list[Condition]:
-    rule, inside = [], np.ones(len(bad), bool)
-    while (~bad[inside]).any() and len(rule) < 5:
-        p0, n0 = bad[inside].sum(), inside.sum()
+# Rows and rows to reject by the number of cuts below their value, of each feature.
+Spread = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def _grow(cuts: dict[str, np.ndarray], spread: Callable[[list[Condition]], Spread]) -> list[Condition]:
+    rule: list[Condition] = []
+    while len(rule) < 5:
+        inside = spread(rule)
+        n0, p0 = (int(c.sum()) for c in next(iter(inside.values())))
+        if p0 == n0:
+            break
         best, gain = None, 1e-9
         for f, edges in cuts.items():
-            # Rows above each cut, by one sort.
-            v, b = x[f][inside], bad[inside]
-            order = np.argsort(v, kind="stable")
-            at = np.searchsorted(v[order], edges, side="right")
-            sums = np.concatenate([[0], np.cumsum(b[order])])
+            n_below, p_below = (np.cumsum(c)[:-1] for c in inside[f])
             for above in (True, False):
-                p, n = (p0 - sums[at], n0 - at) if above else (sums[at], at)
+                p, n = (p0 - p_below, n0 - n_below) if above else (p_below, n_below)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     g = np.where(p > 0, p * (np.log2(p / np.maximum(n, 1)) - np.log2(p0 / n0)), -1)
                 k = int(g.argmax()) if len(g) else -1
@@ -168,48 +182,111 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: dict[str, np.ndarray]
         if best is None:
             break
         rule.append(best)
-        inside &= best.holds(x[best.feature])
     return rule
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 1, most_rules: int = 12) -> DecisionList:
-    """Sequential covering; ``bad`` marks the rows to reject."""
+def _cover(cuts: dict[str, np.ndarray], spread: Callable[[list[list[Condition]], list[Condition]], Spread],
+           held: Callable[[list[list[Condition]], list[list[Condition]]], list[tuple[int, int]]], most_rules: int = 12) -> DecisionList:
+    """Sequential covering. Of the rows that no rule of a list covers, ``spread`` gives those growing rules that a
+    further rule covers, ``held`` the number of those pruning that each of some rules covers and of rows to reject among them."""
     rules: list[list[Condition]] = []
-    left = np.ones(len(bad), bool)
-    cuts = {f: _cuts(v) for f, v in x.items()}
-    part = np.random.default_rng(seed).random(len(bad))
-    while bad[left].any() and not bad[left].all() and len(rules) < most_rules:
-        grow_at, prune_at = np.flatnonzero(left & (part < 2 / 3)), np.flatnonzero(left & (part >= 2 / 3))
-        if not bad[grow_at].any() or not bad[prune_at].any():
+    while cuts and len(rules) < most_rules:
+        start = spread(rules, [])
+        n, p = (int(c.sum()) for c in next(iter(start.values())))
+        (n_held, p_held), = held(rules, [[]])
+        if not p or not p_held or p + p_held == n + n_held:
+            break
+        rule = _grow(cuts, lambda r: spread(rules, r) if r else start)
+        if not rule:
             break
-        rule = _grow({f: v[grow_at] for f, v in x.items()}, bad[grow_at], cuts)
-        held = {f: v[prune_at] for f, v in x.items()}
-
-        def worth(r):
-            c = _covered(r, held, len(prune_at))
-            p, n = bad[prune_at][c].sum(), (~bad[prune_at][c]).sum()
-            return (p - n) / max(1, p + n), p + n, p
-        while len(rule) > 1 and worth(rule[:-1])[0] >= worth(rule)[0]:
+        covered = held(rules, [rule[:k] for k in range(1, len(rule) + 1)])
+        worth = [(2 * p - n) / max(1, n) for n, p in covered]
+        while len(rule) > 1 and worth[len(rule) - 2] >= worth[len(rule) - 1]:
             rule = rule[:-1]
-        value, covered, right = worth(rule) if rule else (0, 0, 0)
-        if not rule or covered < LEAST_COVERED or right < LEAST_RIGHT * covered:
+        n, p = covered[len(rule) - 1]
+        if n < LEAST_COVERED or p < LEAST_RIGHT * n:
             break
         rules.append(rule)
-        left &= ~_covered(rule, x, len(bad))
     return DecisionList(rules)
 
 
-def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality",
-          sample: int = SAMPLE) -> DecisionList:
-    """A list from labelled rows; ``label`` 0 marks rows to reject. Rows that the base rules reject teach
-    nothing new and are left out. Only the sampled rows are measured."""
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, seed: int = 1, most_rules: int = 12) -> DecisionList:
+    """Sequential covering of rows at hand; ``bad`` marks the rows to reject."""
+    cuts = {f: _cuts(*_steps(v)[1:]) for f, v in x.items()}
+    bins = {f: np.searchsorted(cuts[f], v, side="left") for f, v in x.items()}
+    part = np.random.default_rng(seed).random(len(bad)) < 2 / 3
+
+    def left(rules):
+        out = np.ones(len(bad), bool)
+        for r in rules:
+            out &= ~_covered(r, x, len(bad))
+        return out
+
+    def spread(rules, rule):
+        at = left(rules) & part & _covered(rule, x, len(bad))
+        return {f: tuple(np.bincount(b[rows], minlength=len(cuts[f]) + 1) for rows in (at, at & bad)) for f, b in bins.items()}
+
+    def held(rules, some):
+        at = left(rules) & ~part
+        found = [at & _covered(r, x, len(bad)) for r in some]
+        return [(int(c.sum()), int((c & bad).sum())) for c in found]
+    return _cover(cuts, spread, held, most_rules)
+
+
+def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> DecisionList:
+    """A list from all labelled rows; ``label`` 0 marks rows to reject. Rows that the base rules reject teach
+    nothing new and are left out. Measures, not texts, meet the labels."""
     names = list(features())
-    chosen = labelled_sample(docs.select(F.col(id).alias("id"), F.col(text).alias("text")),
-                             labels.select(F.col(id).alias("id"), F.col(label).alias("label")).where("label is not null"), "id", ["label"], sample)
-    rows = (measures(chosen).where(~base_failed())
-            .select(*[c.alias(n) for n, c in features().items()], (F.col("label") == 0).alias("bad"), F.xxhash64("id").alias("h")).collect())
-    rows.sort(key=lambda r: (r["h"], *[r[n] for n in names]))
-    return learn({n: np.array([r[n] for r in rows], float) for n in names}, np.array([r["bad"] for r in rows], bool))
+    known = (labels.select(F.col(id).alias("id"), F.col(label).alias("label")).where("id is not null and label is not null")
+             .groupBy("id").agg(F.max("label").alias("label")))
+    measured = measures(docs.select(F.col(id).alias("id"), F.col(text).alias("text"))).where(~base_failed())
+    measured = measured.select("id", *[c.alias(n) for n, c in features().items()])
+    rows = written(measured.join(known, "id").select(*names, (F.col("label") == 0).alias("bad"),
+                                                     (F.pmod(F.xxhash64("id", F.lit("grow")), F.lit(3)) < 2).alias("grow")), "labelled")
+
+    def steps(batch: pa.RecordBatch):
+        for f, name in enumerate(names):
+            step, n, least, greatest = _steps(batch.column(name).to_numpy())
+            yield {"f": np.full(len(step), f, np.int32), "step": step, "n": n, "least": least, "greatest": greatest}
+    found = (map_arrow(rows.select(*names), steps, "f int, step bigint, n bigint, least double, greatest double", rows=1 << 16)
+             .groupBy("f", "step").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("greatest").alias("greatest")).toArrow())
+    if not found.num_rows:
+        return DecisionList([])
+    found = found.sort_by([("f", "ascending"), ("step", "ascending")])
+    f, *of = (found.column(c).to_numpy() for c in ("f", "n", "least", "greatest"))
+    cuts = {name: _cuts(*(c[f == k] for c in of)) for k, name in enumerate(names)}
+
+    def place(batch: pa.RecordBatch):
+        yield ({n: np.searchsorted(cuts[n], batch.column(n).to_numpy(), side="left").astype(np.int32) for n in names}
+               | {n: batch.column(n) for n in ("bad", "grow")})
+    placed = written(map_arrow(rows, place, ", ".join([*(f"{n} int" for n in names), "bad boolean, grow boolean"]), rows=1 << 16), "placed")
+
+    def holds(rule: list[Condition]) -> Column:
+        out = F.lit(True)
+        for c in rule:
+            at = int(np.searchsorted(cuts[c.feature], c.cut))
+            out = out & (F.col(c.feature) > at if c.above else F.col(c.feature) <= at)
+        return out
+
+    def left(rules: list[list[Condition]]) -> DataFrame:
+        out = placed
+        for r in rules:
+            out = out.where(~holds(r))
+        return out
+
+    def spread(rules, rule):
+        inside = left(rules).where(F.col("grow") & holds(rule)).select("bad", F.posexplode(F.array(*names)).alias("f", "bin"))
+        out = {n: (np.zeros(len(cuts[n]) + 1, np.int64), np.zeros(len(cuts[n]) + 1, np.int64)) for n in names}
+        for r in inside.groupBy("f", "bin").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("p")).collect():
+            for counts, value in zip(out[names[r["f"]]], (r["n"], r["p"])):
+                counts[r["bin"]] = value
+        return out
+
+    def held(rules, some):
+        sums = [c for r in some for c in (F.count_if(holds(r)), F.count_if(holds(r) & F.col("bad")))]
+        row = left(rules).where(~F.col("grow")).agg(*[c.alias(f"c{k}") for k, c in enumerate(sums)]).first()
+        return list(zip(row[::2], row[1::2]))
+    return _cover(cuts, spread, held)
 
 
 def judge(measured: DataFrame, rules: DecisionList) -> DataFrame:

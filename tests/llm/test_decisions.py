@@ -3,10 +3,11 @@ import re
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from helpers import A, docs
 from strata.llm.decisions import COUNTS, Condition, DecisionList, judge, learn, measure, measures, train
+from strata.session import written
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -63,3 +64,15 @@ def test_train_and_judge(spark):
 def test_clashing_column(spark):
     got = measures(docs(spark, "one two", None).withColumn("_measured", F.lit("x"))).orderBy("doc_id").collect()
     assert [(r["_measured"], r["n_words"]) for r in got] == [("x", 2), ("x", 0)]
+
+
+def test_every_labelled_row_counts(spark):
+    """Texts to reject that are not among the 10,000 labelled ids of least hash."""
+    n = F.row_number().over(Window.orderBy(F.xxhash64("doc_id")))
+    rows = spark.range(10_600).withColumnRenamed("id", "doc_id").withColumn("poor", (n > 10_000) & (F.col("doc_id") % 2 == 0))
+    word = F.concat(F.lit("w"), F.col("doc_id").cast("string"), F.lit("x"))
+    words = F.transform(F.sequence(F.lit(1), F.lit(55)), lambda k: F.concat(word, k.cast("string"), F.when(F.col("poor"), "##").otherwise("")))
+    frame = written(rows.select("doc_id", F.array_join(words, " ").alias("text"), (~F.col("poor")).cast("int").alias("quality")), "labelled")
+    rules = train(frame.select("doc_id", "text"), frame.select("doc_id", "quality"))
+    got = judge(measures(frame), rules).where((F.col("quality") == 1) != F.col("kept")).count()
+    assert rules.rules and got == 0
