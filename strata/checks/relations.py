@@ -16,7 +16,7 @@ from strata.plans.graph import Graph
 from strata.session import scratch
 from strata.sources import store
 from strata.sources.bindings import (
-    LINE_ORDER, change_feed, doc_src, key_id, load, order_calls, page_path, rel_edges, rel_nodes)
+    LINE_ORDER, call_ids, call_sites, change_feed, doc_src, key_id, load, order_calls, page_path, rel_edges, rel_nodes)
 
 _LINE = ", ".join(LINE_ORDER)
 _CALL_ORDER = ["call_line", *LINE_ORDER]
@@ -122,16 +122,18 @@ def attach_edge_ends(spark, sf):
 
 def _call_edges(spark, sf):
     """CALLS edges, one per pair, with nation flags of both ends."""
-    first = dedup.dedup_first(order_calls(spark, sf).select(
-        "entity_id", "source_id", "target_id", *LINE_ORDER, "call_line", "is_awaited", "is_conditional", "l_orderkey"),
-        "entity_id", _CALL_ORDER)
+    # The two keys stand for the ids until the rows are together: they are shorter, and one pair has one id.
+    lines = load(spark, sf, "lineitem").select("l_orderkey", *LINE_ORDER)
+    sites = call_sites(dedup.dedup_first(lines, ["l_orderkey", "l_suppkey"], LINE_ORDER)).select(
+        "l_orderkey", "l_suppkey", "call_line", "is_awaited", "is_conditional")
     orders = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")) \
-        .select(key_id("orders", "o_orderkey").alias("entity_id"), F.col("c_nationkey").cast("string").alias("file_path"))
+        .select(F.col("o_orderkey").alias("entity_id"), F.col("c_nationkey").alias("file_path"))
     # Suppliers of one status of balance are held out, so some targets stay unresolved.
     suppliers = load(spark, sf, "supplier").where("s_acctbal >= 0").select(
-        key_id("supplier", "s_suppkey").alias("entity_id"), F.col("s_nationkey").cast("string").alias("file_path"))
-    e = joins.attach(first, orders, "source_id", "source", ("file_path",))
-    e = joins.attach(e, suppliers, "target_id", "target", ("file_path",))
+        F.col("s_suppkey").alias("entity_id"), F.col("s_nationkey").alias("file_path"))
+    e = joins.attach(sites, orders, "l_orderkey", "source", ("file_path",), hot=joins.hot_keys(lines, ["l_orderkey"]))
+    e = joins.attach(e, suppliers, "l_suppkey", "target", ("file_path",), hot=joins.hot_keys(lines, ["l_suppkey"]))
+    e = e.withColumns({c: F.col(c).cast("string") for c in ("source_file_path", "target_file_path")} | call_ids())
     return e.withColumn("is_cross_file", props.cross_file("source_file_path", "target_file_path"))
 
 

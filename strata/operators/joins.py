@@ -12,15 +12,22 @@ from pyspark.sql import DataFrame, functions as F
 from strata.session import group_limit, is_small
 
 MAX_HOT = 1000
+CLASSES = 1 << 16  # of keys; only keys of classes beyond the limit are counted
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> list[int]:
     """Hashes of the keys with more rows than one task should own, at most MAX_HOT of the
-    largest (any further one holds under 1/MAX_HOT of the rows, which AQE splits)."""
+    largest (any further one holds under 1/MAX_HOT of the rows, which AQE splits). Rows are counted
+    by classes of keys first, so that without hot keys next to nothing is shuffled; ``df`` itself is computed
+    for it, so give it the rows before any costly step."""
     if limit is None and is_small(df):
         return []
     limit = limit or group_limit(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    classes = df.groupBy(F.pmod(F.xxhash64(*keys), F.lit(CLASSES)).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    full = [r["_c"] for r in classes.where(F.col("_n") > limit).select("_c").collect()]
+    if not full:
+        return []
+    counts = df.where(F.pmod(F.xxhash64(*keys), F.lit(CLASSES)).isin(full)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
     top = counts.orderBy(F.desc("_n")).limit(MAX_HOT).select(F.xxhash64(*keys).alias("_h"))
     return [r["_h"] for r in top.collect()]
 
@@ -45,12 +52,12 @@ def skew_join(left: DataFrame, right: DataFrame, keys, how: str = "left",
 
 
 def attach(edges: DataFrame, nodes: DataFrame, on: str, prefix: str, cols=("kind", "name", "file_path"),
-           limit: int | None = None) -> DataFrame:
+           limit: int | None = None, hot: list[int] | None = None) -> DataFrame:
     """Left-join node columns (renamed ``prefix_…``) by the id in ``on``; ``prefix_found``
-    tells whether the node exists."""
+    tells whether the node exists. ``hot`` as in ``skew_join``."""
     side = nodes.select(F.col("entity_id").alias(on), *[F.col(c).alias(f"{prefix}_{c}") for c in cols],
                         F.lit(True).alias(f"{prefix}_found"))
-    joined = skew_join(edges, side, on, "left", limit)
+    joined = skew_join(edges, side, on, "left", limit, hot=hot)
     return joined.withColumn(f"{prefix}_found", F.coalesce(F.col(f"{prefix}_found"), F.lit(False)))
 
 

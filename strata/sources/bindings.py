@@ -91,11 +91,18 @@ LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 def order_calls(spark: SparkSession, sf: str) -> DataFrame:
     """One call site per lineitem row: order calls supplier."""
-    li = load(spark, sf, "lineitem")
+    return call_sites(load(spark, sf, "lineitem").withColumns(call_ids()))
+
+
+def call_ids() -> dict[str, Column]:
+    """Ids of a lineitem row's call and of its ends."""
     source, target = key_id("orders", "l_orderkey"), key_id("supplier", "l_suppkey")
-    return li.select("*", source.alias("source_id"), target.alias("target_id"),
-                     edge_id("CALLS", source, target).alias("entity_id"),
-                     F.col("l_linenumber").alias("call_line"), (F.col("l_linestatus") == "O").alias("is_awaited"),
+    return {"source_id": source, "target_id": target, "entity_id": edge_id("CALLS", source, target)}
+
+
+def call_sites(li: DataFrame) -> DataFrame:
+    """Lineitem rows with the place and flags of their calls."""
+    return li.select("*", F.col("l_linenumber").alias("call_line"), (F.col("l_linestatus") == "O").alias("is_awaited"),
                      (F.col("l_returnflag") == "R").alias("is_conditional"))
 
 
