@@ -172,12 +172,13 @@ def profile(g: Graph) -> DataFrame:
     """(kind, owner_kind, signature, n, example): nodes with one kind, owner kind and set of
     edge shapes. A signature lists distinct (type, direction, other kind), so it is bounded by
     the catalog; shapes are made distinct before they are gathered."""
-    e = ends(g, ("kind",))
-    kind = lambda c: F.coalesce(c, F.lit("Placeholder"))
-    shape = lambda me, text: F.struct(F.col(me).alias("entity_id"), text.alias("shape"))
-    shapes = e.select(F.explode(F.array(
-        shape("source_id", F.concat("type", F.lit(">"), kind("target_kind"))),
-        shape("target_id", F.concat("type", F.lit("<"), kind("source_kind"))))).alias("s")).select("s.*").distinct()
+    e = g.edges.select("type", "source_id", "target_id")
+
+    def shapes_of(me: str, other: str, arrow: str) -> DataFrame:
+        """A shape needs the kind of one end only, so edges move once for it."""
+        found = attach(e, g.nodes, other, "other", ("kind",), hot=hot_keys(e, [other]))
+        return found.select(F.col(me).alias("entity_id"), F.concat("type", F.lit(arrow), F.coalesce("other_kind", F.lit("Placeholder"))).alias("shape"))
+    shapes = shapes_of("source_id", "target_id", ">").unionByName(shapes_of("target_id", "source_id", "<")).distinct()
     signed = shapes.groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_set("shape")), ";").alias("signature"))
     owners = g.nodes.select(F.col("entity_id").alias("parent_id"), F.col("kind").alias("owner_kind"))
     n = g.nodes.select("entity_id", "kind", "parent_id")
