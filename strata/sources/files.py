@@ -2,7 +2,8 @@
 
 Spark's own file sources list no name that starts with ``_`` or ``.``; this one lists all. The driver
 walks folders only and holds no file names: a folder is cut into slices by the bytes and files seen in it, small
-folders share a slice, and a task lists its folders again and reads the files that fall to it. Ignored folders are not
+folders share a slice, and a task lists its folders again and reads the files that fall to it. From a level of many folders on,
+the driver opens none: tasks walk what lies below. Ignored folders are not
 entered, and files are judged by name before they are opened. What cannot be listed or read becomes a
 row with ``error`` instead of a text, so errors are data: they can be counted, stored and retried.
 
@@ -29,13 +30,16 @@ SCHEMA = "path string, size bigint, mtime timestamp, text string, error string"
 _ARROW = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime", pa.timestamp("us", tz="UTC")), ("text", pa.string()), ("error", pa.string())])
 SLICE_BYTES = 64 << 20  # of files, for one task
 SLICE_FILES = 20_000
+SUBTREES = 4_096  # folders of one level, beyond which the driver deals them out and tasks walk what lies below
+FEWEST, MOST_SLICES = 256, 2_000  # folders of a task then, and tasks
 BATCH_BYTES = 16 << 20  # of texts in one Arrow batch
 
 
 @dataclass
 class Slice(InputPartition):
     """Files of folders: those whose name's checksum leaves ``k`` on division by ``n``. ``since`` and ``until`` bound the
-    time of change in nanoseconds (exclusive, inclusive). ``errors``: folders that could not be listed."""
+    time of change in nanoseconds (exclusive, inclusive). ``errors``: folders that could not be listed. ``deep``: all that lies
+    below the folders too."""
 
     folders: list[str]
     k: int = 0
@@ -43,6 +47,7 @@ class Slice(InputPartition):
     since: int | None = None
     until: int | None = None
     errors: tuple[tuple[str, str], ...] = ()
+    deep: bool = False
 
 
 class Folder:
@@ -91,16 +96,20 @@ class Folder:
             return False
         return self.named(f.base_name) and not (self.ignore and self.ignore.search(self._known(f.path)))
 
-    def walk(self) -> Iterator[tuple[str, list | str]]:
-        """(folder, its files) of every folder, or (folder, error)."""
+    def walk(self, folders: list[str] | None = None, most: int | None = None) -> Iterator[tuple]:
+        """(folder, its files) of the folders and all below, or (folder, error); at a level of more than ``most`` folders
+        (those folders, None), and what lies there is left to others."""
         def look(folder):
             try:
                 return folder, self.list(folder)
             except OSError as e:
-                return folder, f"{type(e).__name__}: {e}"
-        level = [self.root]
+                return folder, _message(e)
+        level = folders or [self.root]
         with ThreadPoolExecutor(16) as pool:
             while level:
+                if most is not None and len(level) > most:
+                    yield level, None
+                    return
                 below = []
                 for folder, found in pool.map(look, level):
                     if isinstance(found, str):
@@ -111,9 +120,20 @@ class Folder:
                     yield folder, [f for f in found if self.wanted(f)]
                 level = below
 
+    def _found(self, folder: str, *mine) -> list[pyarrow.fs.FileInfo] | str:
+        """The wanted files of one folder, or the error."""
+        try:
+            return [f for f in self.list(folder, *mine) if self.wanted(f)]
+        except OSError as e:
+            return _message(e)
+
     def slices(self, since: int | None = None, until: int | None = None) -> list[Slice]:
         out, few, size, count, errors = [], [], 0, 0, []
-        for folder, found in self.walk():
+        for folder, found in self.walk(most=SUBTREES):
+            if found is None:
+                each = max(FEWEST, -(-len(folder) // MOST_SLICES))
+                out += [Slice(folder[k:k + each], 0, 1, since, until, deep=True) for k in range(0, len(folder), each)]
+                continue
             if isinstance(found, str):
                 errors.append((self._known(folder), found))
                 continue
@@ -146,15 +166,11 @@ class Folder:
         held = 0
 
         mine = [lambda name: zlib.crc32(name.encode()) % part.n == part.k] if part.n > 1 else []
-        for folder in part.folders:
-            try:
-                found = sorted(self.list(folder, *mine), key=lambda f: f.base_name)
-            except OSError as e:
-                rows.append((self._known(folder), None, None, None, f"{type(e).__name__}: {e}"))
+        for folder, found in self.walk(part.folders) if part.deep else ((folder, self._found(folder, *mine)) for folder in part.folders):
+            if isinstance(found, str):
+                rows.append((self._known(folder), None, None, None, found))
                 continue
-            for f in found:
-                if not self.wanted(f):
-                    continue
+            for f in sorted(found, key=lambda f: f.base_name):
                 if part.since is not None and not part.since < f.mtime_ns <= part.until:
                     continue
                 text = error = None
@@ -165,7 +181,7 @@ class Folder:
                     except FileNotFoundError:
                         continue  # gone since it was listed
                     except OSError as e:
-                        error = f"{type(e).__name__}: {e}"
+                        error = _message(e)
                 rows.append((self._known(f.path), f.size, f.mtime, text, error))
                 held += len(text or "")
                 if held > BATCH_BYTES:
@@ -175,6 +191,10 @@ class Folder:
             yield _batch(rows)
 
 
+def _message(e: OSError) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
