@@ -32,7 +32,9 @@ END = "</w>"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # Words whose tokens a worker keeps, in each of two generations.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 1 << 16
+# Pairs of tokens of which a worker keeps whether they can be neighbours. What is kept stays as long as the worker, through other stages too.
+PAIRS_KEPT = 1 << 18
 # Tokens decoded at once.
 SPAN = 1 << 18
 
@@ -129,7 +131,7 @@ class Codec:
                 right, before = first_right, right + 1
 
     def compatible(self, left: int, right: int) -> bool:
-        if len(self._pairs) > WORDS_KEPT:
+        if len(self._pairs) > PAIRS_KEPT:
             self._pairs.clear()
         known = self._pairs[left << 20 | right] = self._borders(left, right, 1 << 30)
         return known
