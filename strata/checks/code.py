@@ -62,8 +62,8 @@ def _ts_parts(spark, sf):
     """(constructs, declared names, imported names, resolved imports, files)."""
     d = _ts(spark, sf)
     files = b.ts_src(spark, sf).select("path")
-    imports = resolve.resolve_imports(typescript.import_rows(d), files)
-    decls = resolve.declared(typescript.nodes(d), typescript.export_rows(d))
+    imports = written(resolve.resolve_imports(typescript.import_rows(d), files), "imports")
+    decls = written(resolve.declared(typescript.nodes(d), typescript.export_rows(d)), "declared")
     return d, decls, resolve.imported_names(imports), imports, files
 
 
@@ -139,8 +139,9 @@ def _note_parts(spark, sf):
     """(constructs, declared names, imported names) of the notes."""
     src = b.note_src(spark, sf)
     d = written(typescript.decorate(typescript.tokens(src)), "notes")
-    imports = resolve.resolve_imports(typescript.import_rows(d), src.select("path"))
-    return d, resolve.declared(typescript.nodes(d), typescript.export_rows(d)), resolve.imported_names(imports)
+    imports = written(resolve.resolve_imports(typescript.import_rows(d), src.select("path")), "imports")
+    decls = written(resolve.declared(typescript.nodes(d), typescript.export_rows(d)), "declared")
+    return d, decls, resolve.imported_names(imports)
 
 
 def _declared(name: str, line: int, type_: str, modifiers: str) -> str:

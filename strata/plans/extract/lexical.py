@@ -113,19 +113,21 @@ def tail(c: Column) -> Column:
 TASK_CHARS = 4 << 20
 
 
-def by_file(df: DataFrame, chars: int = TASK_CHARS) -> DataFrame:
+def by_file(df: DataFrame, chars: int = TASK_CHARS, made: Column | None = None) -> DataFrame:
     """Texts spread by path, as many parts as their length asks for. Windows per file then need no shuffle of tokens,
-    and no task has more to sort than it can hold, however large the corpus."""
+    and no task has more to sort than it can hold, however large the corpus. ``made`` is what a Python function makes of
+    the text and takes its place; as Spark forgets behind such a function how rows lie, those texts are spread once more."""
     total = df.agg(F.sum(F.length("text"))).first()[0] or 0
     cores = df.sparkSession.sparkContext.defaultParallelism
     parts = max(-(-total // chars), min(cores, -(-total // (chars >> 4))), 1)
-    return df.repartition(parts, "path")
+    spread = df.repartition(parts, "path")
+    return spread if made is None else spread.withColumn("text", made).repartition(parts, "path")
 
 
-def cut(df: DataFrame, code: Column, regex: str, keep=("path", "language")) -> DataFrame:
+def cut(df: DataFrame, code: Column, regex: str, keep=("path", "language"), made: Column | None = None) -> DataFrame:
     """(keep…, idx, tok, start, stop, line, col, stop_line, stop_col, gap_blank) per match of
-    ``regex``: offsets are 1-based, columns 0-based, ``stop`` exclusive."""
-    df = by_file(df.select(*dict.fromkeys([*keep, "path", "language", "text"])))
+    ``regex``: offsets are 1-based, columns 0-based, ``stop`` exclusive. ``made`` as in ``by_file``."""
+    df = by_file(df.select(*dict.fromkeys([*keep, "path", "language", "text"])), made=made)
     # One pass marks both ends of every token; the cuts are plain string work after that.
     clean = F.translate(code, "\x01\x02", "  ")
     marked = F.regexp_replace(clean, f"(?s){regex}", "\x01$0\x02")
@@ -168,8 +170,10 @@ def scan(sources: DataFrame, g: Grammar, prepare: Callable[[Column], Column] = l
     ``doc`` (comment right before); ``owner_*`` of the innermost declaration around it.
     ``prepare`` may change the blanked code, but not its length."""
     code = blank("text", g.style, g.keep_docs)
+    made = code if g.style == "ts" else None
+    code = F.col("text") if g.style == "ts" else code
     code = prepare(for_headers(code) if g.semicolon_for else code)
-    toks = cut(sources, code, g.regex).withColumn("cls", g.classify(F.col("tok")))
+    toks = cut(sources, code, g.regex, made=made).withColumn("cls", g.classify(F.col("tok")))
     by_idx = W.partitionBy("path").orderBy("idx")
     run = by_idx.rowsBetween(W.unboundedPreceding, 0)
     opens = F.when(F.col("tok").endswith("{"), 1).otherwise(0)

@@ -108,12 +108,14 @@ def _args(cls: Column, tok: Column) -> Column:
 def decorate(toks: DataFrame) -> DataFrame:
     """Names, kinds and ids of declarations; NULL kind for tokens that declare nothing."""
     # A further declarator begins at its name, not at the mark before it.
-    lead = F.regexp_extract("tok", rf"^[{MARKS}]\s*", 0)
+    further = F.substring("tok", 1, 1).isin(*DECLARATORS.values())
+    lead = F.when(further, F.regexp_extract("tok", rf"^[{MARKS}]\s*", 0)).otherwise("")
     toks = toks.withColumns({
         "col": F.when(newlines(lead) > 0, tail(lead)).otherwise(F.col("col") + F.length(lead)).cast("int"),
         "line": (F.col("line") + newlines(lead)).cast("int")})
     cls, tok = F.col("cls"), F.col("tok")
-    callee = group("tok", _CALLEE)
+    # Patterns run only on the classes that need them.
+    callee = F.when(cls.isin("call", "callback"), group("tok", _CALLEE))
     in_type = F.col("direct") & F.col("owner_cls").isin("class", "interface")
     member = F.regexp_extract(tok, _METHOD_NAME, 1)
     accessor = tok.rlike(rf"^\s*{_MEMBER_MODS}(?<=\bget|\bset)") | tok.rlike(r"\b(?:get|set)\s+[#\w$]+\s*\(")
@@ -126,7 +128,7 @@ def decorate(toks: DataFrame) -> DataFrame:
     kind = (F.when(cls == "import", "Import").when(cls == "class", "Class").when(cls == "interface", "Interface")
             .when(cls == "alias", "TypeAlias").when(cls.isin(_FUNCTIONS), "Function")
             .when(is_method, "Method").when((cls == "variable") & top_level & ~in_header, "Variable"))
-    module = F.regexp_extract(tok, r"""['"]([^'"]*)['"]$""", 1)
+    module = F.when(cls.isin("import", "reexport"), F.regexp_extract(tok, r"""['"]([^'"]*)['"]$""", 1))
     arg_no = F.length(F.regexp_replace(F.regexp_extract(
         tok, rf"^[^(]*\(([^(){{}};=]*?)(?:{_ARROW_ARGS}|{_FUNC_EXPR})$", 1), "[^,]", ""))
     name = (F.when(cls == "import", F.concat_ws(":", module, F.col("line").cast("string")))
@@ -152,7 +154,7 @@ def decorate(toks: DataFrame) -> DataFrame:
         head = F.when(tok.startswith(mark), F.lit(words)).otherwise(head)
     return out.withColumns({
         "entity_id": eid, "owner_id": owner_id,
-        "head": head, "args": F.when(F.col("kind").isin("Function", "Method"), _args(cls, tok)),
+        "head": F.when(F.col("kind").isNotNull(), head), "args": F.when(F.col("kind").isin("Function", "Method"), _args(cls, tok)),
         "seq": F.col("idx").cast("bigint")})
 
 

@@ -17,11 +17,20 @@ from strata.operators.dedup import dedup_first
 from strata.operators.joins import skew_join
 from strata.operators.ordered import best_by_rank
 from strata.plans.extract.common import edge, explode_edges, file_id, props, union_all
+from strata.session import is_small, written
 
 # Order in which kinds answer to an imported name.
 KIND_ORDER = ["Function", "Class", "Interface", "Variable", "TypeAlias"]
 
 
+def _meet(left: DataFrame, right: DataFrame, keys, how: str = "left", limit: int | None = None) -> DataFrame:
+    """``skew_join`` of rows that take work to make: where their keys are counted, they are written first, so that
+    neither the count nor the count of a later join makes them again."""
+    if limit is not None or not is_small(left):
+        left = written(left, "asked")
+    return skew_join(left, right, keys, how, limit)
+
+
 def import_keys(files: DataFrame, exts=EXTENSIONS) -> DataFrame:
     """(key, target_path): what an import may say to mean a file. A file answers to its path, to
     its path without extension, and as ``index`` to its folder; the extension order decides
@@ -48,7 +57,7 @@ def answers(files: DataFrame, exts=EXTENSIONS) -> DataFrame:
 def resolve_imports(imports: DataFrame, files: DataFrame, exts=EXTENSIONS, limit: int | None = None) -> DataFrame:
     """Imports with ``target_path`` (NULL when no file matches) and ``resolved_path``."""
     asked = imports.withColumn("key", resolve_rel("path", "module"))
-    hit = skew_join(asked, import_keys(files, exts), "key", "left", limit)
+    hit = _meet(asked, import_keys(files, exts), "key", "left", limit)
     return hit.withColumn("resolved_path", F.coalesce("target_path", "key")).drop("key")
 
 
@@ -106,7 +115,7 @@ def resolve_symbols(names: DataFrame, decls: DataFrame, limit: int | None = None
     namespace import."""
     wanted = names.where("form <> 'namespace'").withColumn("qual", F.col("name"))
     d = decls.where("exported").select(F.col("path").alias("target_path"), "qual", "id")
-    hit = skew_join(wanted, d, ["target_path", "qual"], "inner", limit)
+    hit = _meet(wanted, d, ["target_path", "qual"], "inner", limit)
     form_default = F.col("form") == "default"
     suffix = F.when(form_default, F.concat(F.lit(":default")))
     made = explode_edges(hit, edge("RESOLVES_IMPORT", F.col("import_id"), F.col("id"), 8, props(
@@ -134,7 +143,7 @@ def exports(rows: DataFrame, decls: DataFrame, limit: int | None = None) -> Data
     """File → declaration EXPORTS of local lists and default assignments."""
     names = rows.where("form in ('exports', 'export_default')").select(
         "path", "form", "seq", F.explode("exported").alias("qual"))
-    hit = skew_join(names, decls.select("path", "qual", "id"), ["path", "qual"], "inner", limit)
+    hit = _meet(names, decls.select("path", "qual", "id"), ["path", "qual"], "inner", limit)
     default = F.col("form") == "export_default"
     made = explode_edges(hit, edge("EXPORTS", file_id(), F.col("id"), 8, props(
         exportedName=F.when(~default, F.col("qual")), isDefaultExport=F.when(default, F.lit(True)))))
@@ -152,7 +161,7 @@ def lookup_names(sites: DataFrame, decls: DataFrame, names: DataFrame | None,
     if names is not None:
         mine = dedup_first(names.select("path", "local", "target_path", "name", "form", "seq"), ["path", "local"], "seq") \
             .select("path", "local", F.col("target_path").alias("_file"), F.col("name").alias("_name"), F.col("form").alias("_form"))
-        sites = skew_join(sites, mine, ["path", "local"], "left", limit)
+        sites = _meet(sites, mine, ["path", "local"], "left", limit)
         member = F.lower("member")
         through = (F.when(F.col("_form") == "namespace", F.col("member"))
                    .when(F.col("member").isNull(), F.col("_name"))
@@ -166,7 +175,7 @@ def lookup_names(sites: DataFrame, decls: DataFrame, names: DataFrame | None,
     sites = sites.withColumn("_imported", imported).drop("_file", "_name", "_form")
     here = decls.select(F.col("path").alias("_at"), F.col("qual").alias("_qual"), "id", "kind",
                         F.col("exported").alias("_exported"))
-    hit = skew_join(sites, here, ["_at", "_qual"], "left", limit)
+    hit = _meet(sites, here, ["_at", "_qual"], "left", limit)
     # Another file's declaration counts only when that file exports it.
     hidden = F.col("_imported") & ~F.coalesce("_exported", F.lit(False)) & F.col("kind").isin(KIND_ORDER)
     for c in ("id", "kind"):
@@ -179,7 +188,7 @@ def lookup_names(sites: DataFrame, decls: DataFrame, names: DataFrame | None,
             .groupBy("qual").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_uid"),
                                  F.min("kind").alias("_ukind"), F.min("path").alias("_upath")).where("_n = 1")
         may = F.when(F.col("id").isNull() & F.col("member").isNull() & ~F.col("_imported"), F.col("local"))
-        hit = skew_join(hit.withColumn("_lone", may), only.select(F.col("qual").alias("_lone"), "_uid", "_ukind", "_upath"),
+        hit = _meet(hit.withColumn("_lone", may), only.select(F.col("qual").alias("_lone"), "_uid", "_ukind", "_upath"),
                         "_lone", "left", limit)
         hit = hit.withColumns({"target_path": F.coalesce("target_path", "_upath"), "kind": F.coalesce("kind", "_ukind"),
                                "id": F.coalesce("id", "_uid")}).drop("_lone", "_uid", "_ukind", "_upath")
@@ -242,7 +251,7 @@ def resolve_includes(includes: DataFrame, files: DataFrame, limit: int | None =
     is a placeholder by its text."""
     asked = includes.withColumn("key", F.when(~F.col("is_system"), fold_dots(F.concat(dir_name("path"), F.lit("/"), F.col("include")))))
     known = files.select(F.col("path").alias("key"), F.lit(True).alias("_known"))
-    hit = skew_join(asked, known, "key", "left", limit)
+    hit = _meet(asked, known, "key", "left", limit)
     found = F.coalesce("_known", F.lit(False))
     target = entity_id("file", F.when(found, F.col("key")).otherwise(F.col("include")))
     made = explode_edges(hit, edge("INCLUDES", file_id(), target, 4, props(
@@ -266,7 +275,7 @@ def py_calls(sites: DataFrame, nodes: DataFrame, limit: int | None = None) -> Da
         F.col("file_path").alias("path"), "name", "entity_id", rank.alias("rank"), "seq"),
         ["path", "name"], ["rank", "seq", "entity_id"], ["entity_id"]).withColumnRenamed("entity_id", "id")
     first = dedup_first(sites, ["path", "source_id", "name"], "seq")
-    hit = skew_join(first, d, ["path", "name"], "left", limit)
+    hit = _meet(first, d, ["path", "name"], "left", limit)
     target = F.coalesce("id", F.concat(F.lit("pythonfunction:"), F.col("path"), F.lit(":"), F.col("name")))
     made = explode_edges(hit, edge("PYTHON_CALLS", F.col("source_id"), target, 1, props(
         calledName="name", isPlaceholder=F.col("id").isNull())))
@@ -297,7 +306,7 @@ def sql_references(rows: DataFrame, nodes: DataFrame, limit: int | None = None)
     objects = best_by_rank(objects, ["object", "form"], ["kind", "entity_id"], ["kind", "entity_id"]) \
         .withColumnsRenamed({"entity_id": "id"})
     asked = rows.withColumn("object", F.lower("object"))
-    hit = skew_join(asked, objects, ["object", "form"], "left", limit).where("id is not null or form = 'relation'")
+    hit = _meet(asked, objects, ["object", "form"], "left", limit).where("id is not null or form = 'relation'")
     type_ = (F.when(F.col("kind") == "SQLView", "REFERENCES_VIEW").when(F.col("form") == "relation", "REFERENCES_TABLE")
              .when(F.col("form") == "function", "CALLS_FUNCTION").otherwise("CALLS_PROCEDURE"))
     target = F.coalesce("id", entity_id("sqltable", "object"))
