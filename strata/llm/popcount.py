@@ -115,7 +115,8 @@ def links(distinct: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
     calm = placed.join(crowded, ["choice", "cell"], "left_anti")
     left = calm.select("choice", "cell", F.col("fp").alias("a"), F.col("point").alias("pa"))
     right = calm.select("choice", "cell", F.col("fp").alias("b"), F.col("point").alias("pb"))
-    pairs = left.join(right, (left.choice == right.choice) & (left.cell == right.cell) & (F.col("a") < F.col("b"))
+    # Merged, not broadcast: Spark sizes both sides as before their points were repeated per choice or midpoint.
+    pairs = left.join(right.hint("merge"), (left.choice == right.choice) & (left.cell == right.cell) & (F.col("a") < F.col("b"))
                       & (_differ("pa", "pb") <= BITS) & (_differ("a", "b") <= BITS)).select("a", "b")
     # Members of crowded cells meet at the points within two bits of both: flip two of 64 bits, where a
     # 65th stands for no flip, or none at all.
@@ -127,7 +128,7 @@ def links(distinct: DataFrame, cell_limit: int = CELL_LIMIT) -> DataFrame:
           .select("fp", F.when(F.col("i") == F.col("j"), F.col("fp"))
                   .otherwise(F.col("fp").bitwiseXOR(bit("i")).bitwiseXOR(bit("j"))).alias("middle")))
     first = at.groupBy("middle").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).where("a < last")
-    met = at.join(first, "middle").where("fp <> a").select("a", F.col("fp").alias("b"))
+    met = at.join(first.hint("merge"), "middle").where("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(met).distinct()
 
 

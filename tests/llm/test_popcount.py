@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 import xxhash
@@ -31,6 +32,14 @@ def test_links_keep_components(spark, limit):
     assert components(prints, lambda a, b: (a, b) in pairs) == components(prints, lambda a, b: far(a, b) <= 4)
 
 
+def test_repeated_points_are_not_broadcast(spark):
+    """Points are repeated 35 times for their cells and 2,081 times for their midpoints, which Spark's sizes do not count."""
+    plan = links(spark.range(1000).select(F.xxhash64("id").alias("fp")))._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(BroadcastHashJoin|ShuffledHashJoin|SortMergeJoin) \[.*?\], (\w+)", plan)
+    assert joins.count(("SortMergeJoin", "Inner")) == 2
+    assert {how for name, how in joins if name != "SortMergeJoin"} <= {"LeftAnti", "LeftSemi"}  # by the list of crowded cells
+
+
 def test_near_duplicates(spark):
     texts = [A, A.upper(), B, None, "", " \n", "one two", A + " x", B, "w " * 90_000]
     ids = [4, 2, 9, None, 7, 8, 6, 3, 9, 5]
