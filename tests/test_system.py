@@ -295,3 +295,15 @@ def test_updates_drop_state_behind_the_watermark(spark, tmp_path):
     assert {tuple(r) for r in watch.latest(out, "k", ["at", "id"], "id", "v").collect()} == {("a", 7, "tie goes to the larger id"), ("b", 2, "y"), (None, 8, None)}
     # January's rows have left the state; what remains is February's.
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+
+
+def test_analysis_broadcasts_no_facts(spark, sources):
+    """Files tell Spark little of the room that ids and paths take, so tables of facts are merged, however small they look."""
+    from strata.plans.extract import python
+    from strata.session import written
+    src = written(sources(("/a.py", "def f(x):\n    return g(x)\n\n\ndef g(x):\n    return x\n"), ("/b.ts", "export function h() { return 1; }\n")))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(python.decorate(src.where("language = 'Python'")))
+    g = analyze(src)
+    assert "BroadcastHashJoin" not in plan(g.nodes)
+    assert {r["name"] for r in g.nodes.where("kind in ('PythonFunction', 'Function')").collect()} == {"f", "g", "h"}
